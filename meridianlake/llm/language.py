@@ -231,7 +231,7 @@ def detect_languages(chunks: DataFrame, sample_rows: int = 3000) -> DataFrame:
     rows = chunks.select(F.col("id").cast("string").alias("id"), F.col("metadata").cast("string").alias("metadata"), F.col("content").cast("string").alias("content"))
     named = F.lower(F.trim(F.coalesce(F.try_variant_get(v := F.try_parse_json("metadata"), "$.language", "string"), F.try_variant_get(v, "$.lang", "string"), F.try_variant_get(v, "$.doc.language", "string"))))
     labelled = rows.where(F.col("content").isNotNull() & F.col("metadata").rlike('"(language|lang)"') & named.isNotNull())
-    sample = bounded_sample(labelled, "id", sample_rows).select("metadata", "content").toPandas()
+    sample = bounded_sample(labelled, "id", sample_rows, chunks.count()).select("metadata", "content").toPandas()
     labels = sample["metadata"].map(label_of)
     good = labels.notna()
     model = fit(sample["content"][good].tolist(), labels[good].tolist())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality
+from . import language, leakage, personal, quality
 from .common import read
 
 
@@ -18,6 +18,22 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.detect_languages(read(spark, d, "rag_pgvectors"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(read(spark, d, "rag_pgvectors"))
+
+
+def p4_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    return personal.sanitise(read(spark, d, "rag_pgvectors"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.found(read(spark, d, "documents"))
 
