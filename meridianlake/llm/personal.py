@@ -45,9 +45,9 @@ _CODE_TOWN = rf"(?:,?{_S}\d{{5}}{_S}{_TOWN})?"
 _NAMES = r"(?:(?:dei|del|della|delle|degli|di|de|las|los|la|el)[  \n])*[A-ZÀ-Ý][\w'’]*(?:[  \n](?:(?:dei|del|della|di|de|la|las|los|e|y)[  \n])*[A-ZÀ-Ý][\w'’]*)*"
 ADDRESSES = [
     re.compile(rf"(?<![\w\-/.])\d{{1,4}}[A-Za-z]?,?{_S}(?:[A-ZÀ-Ý][\w'’]*{_S}){{1,3}}(?:{_EN})(?![\w])(?:,?{_S}(?:Flat|Apartment|Apt\.?|Unit|Suite|Floor){_S}\d{{1,4}}[A-Za-z]?)?(?:,?{_S}(?:[A-ZÀ-Ý][\w'’]*{_S}){{1,3}}[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_S}\d[A-Z]{{2}}(?!\w)|,{_S}[A-ZÀ-Ý][a-zà-ÿ'’]+(?:{_S}[A-ZÀ-Ý][a-zà-ÿ'’]+)*)?"),
-    re.compile(rf"(?<![\w])(?:(?:Am|Im|Zum|Zur|(?:An|In|Auf|Hinter|Unter){_S}(?:der|dem|den)){_S}(?!(?:{_DE_NOT})(?!\w))[A-ZÄÖÜ][\wäöüß]+|(?:[A-ZÄÖÜ][\wäöüß\-]+{_S})?(?:[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|gasse|allee|weg|platz|damm|ufer|ring|steig|graben|markt)|(?:Straße|Strasse|Str\.|Gasse|Allee|Weg|Platz|Damm|Ring)(?!\w))){_S}\d{{1,4}}(?:{_S}?[a-zA-Z](?!\w))?(?!\w){_CODE_TOWN}"),
+    re.compile(rf"(?<![\w])(?:(?:Am|Im|Zum|Zur|(?:An|In|Auf|Hinter|Unter){_S}(?:der|dem|den)){_S}(?!(?:{_DE_NOT})(?!\w))[A-ZÄÖÜ][\wäöüß]+|(?:[A-ZÄÖÜ][\wäöüß\-]+{_S})?(?:[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|gasse|allee|weg|platz|damm|ufer|ring|steig|graben|markt)|(?:Straße|Strasse|Str\.|Gasse|Allee|Weg|Platz|Damm|Ring)(?!\w))){_S}\d{{1,4}}(?:[a-zA-Z](?!\w))?(?!\w){_CODE_TOWN}"),
     re.compile(rf"(?<![\w])(?:{_IT}){_S}{_NAMES}(?:,?{_S}(?:n\.?°?{_S}?|nr\.{_S}?|n°{_S}?)?|{_S}n\.{_S})\d{{1,4}}(?:/?[a-zA-Z](?!\w))?(?!\w){_CODE_TOWN}"),
-    re.compile(rf"(?<![\w])(?:{_ES}){_S}{_NAMES}(?:,?{_S}(?:n\.?[ºo°]?{_S}?|nº{_S}?|núm\.{_S}?)?)\d{{1,4}}(?:{_S}?[a-zA-Z](?!\w))?(?!\w){_CODE_TOWN}"),
+    re.compile(rf"(?<![\w])(?:{_ES}){_S}{_NAMES}(?:,?{_S}(?:n\.?[ºo°]?{_S}?|nº{_S}?|núm\.{_S}?)?)\d{{1,4}}(?:[a-zA-Z](?!\w))?(?!\w){_CODE_TOWN}"),
     re.compile(rf"(?<![\w\-/.])\d{{1,4}}(?:{_S}?(?:bis|ter|quater|[A-Ca-c](?!\w)))?,?{_S}(?:{_FR}){_S}(?:(?:du|de|des|de la|de l['’]|d['’]|la|le|les){_S}?)*[A-ZÀ-Ý][\w'’\-]*(?:[  \n](?:(?:du|de|des|la|le){_S})*[A-ZÀ-Ý][\w'’\-]*)*{_CODE_TOWN}"),
 ]
 STREET_HINT = re.compile(rf"\b(?:{_EN}|{_IT}|{_ES}|{_FR})(?!\w)|C/|(?:[sS]traße|[sS]trasse|[sS]tr\.|[gG]asse|[aA]llee|[wW]eg|[pP]latz|[dD]amm|[uU]fer|[rR]ing|[sS]teig|[gG]raben|[mM]arkt)\s\d|\b(?:Am|An|Im|In|Auf|Unter|Zum|Zur)(?: der| dem| den)? [A-ZÄÖÜ]\w+ \d")
@@ -120,8 +120,8 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
     for m in IBAN.finditer(text):
         whole = m[0]
         # A number may be followed by a short word that looks like its last group: the longest right part counts.
-        while whole and not iban_ok(whole) and re.search(rf"{SPACE}[A-Za-z0-9]{{1,4}}$", whole):
-            whole = re.sub(rf"{SPACE}[A-Za-z0-9]{{1,4}}$", "", whole)
+        while whole and not iban_ok(whole) and re.search(rf"{SPACE}[A-Za-z0-9]{{1,7}}$", whole):
+            whole = re.sub(rf"{SPACE}[A-Za-z0-9]{{1,7}}$", "", whole)
         if whole and iban_ok(whole):
             add(m.start(), m.start() + len(whole), "id_number")
         elif sum(c.isdigit() for c in m[0]) >= 10:
