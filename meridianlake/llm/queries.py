@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leakage, personal, quality
+from . import language, leakage, personal, quality, scans
 from .common import read
 
 
@@ -18,6 +18,14 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.detect_languages(read(spark, d, "rag_pgvectors"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(read(spark, d, "rag_pgvectors"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(read(spark, d, "rag_pgvectors"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.found(read(spark, d, "rag_pgvectors"))
 
