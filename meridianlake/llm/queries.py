@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leakage, personal, quality, scans
+from . import language, leakage, neighbours, personal, quality, scans
 from .common import read
 
 
@@ -26,6 +26,15 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(read(spark, d, "rag_pgvectors"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.found(read(spark, d, "rag_pgvectors"), read(spark, d, "rag_vector_namespaces"), read(spark, d, "vector_probes"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read(spark, d, "rag_pgvectors")
+    return neighbours.nearest(vectors, read(spark, d, "rag_vector_namespaces"), neighbours.every_hundredth(vectors))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.found(read(spark, d, "rag_pgvectors"))
 
