@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leakage, neighbours, personal, quality, scans
+from . import duplicates, language, leakage, neighbours, personal, quality, scans
 from .common import read
 
 
@@ -43,6 +43,14 @@ def p4_sanitised(spark: SparkSession, d: str) -> DataFrame:
     return personal.sanitise(read(spark, d, "rag_pgvectors"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.found(read(spark, d, "rag_pgvectors"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.groups(read(spark, d, "rag_pgvectors"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
 
