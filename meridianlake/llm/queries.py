@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import duplicates, language, leakage, neighbours, personal, quality, scans
+from . import duplicates, language, leakage, neighbours, packing, personal, quality, scans
 from .common import read
 
 
@@ -51,6 +51,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.groups(read(spark, d, "rag_pgvectors"))
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "context_windows"))
+
+
+def p6_used_space(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(read(spark, d, "documents"), read(spark, d, "context_windows"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
 
