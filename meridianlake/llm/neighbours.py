@@ -9,6 +9,7 @@ the last one, to an exact scan in blocks of queries. The floats of what was foun
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +23,7 @@ BITS = 64
 SUB = 16
 PARTS = BITS // SUB
 QUERIES_IN_BLOCK = 2000
+FILTER_BITS = 1 << 22
 
 
 def learn(X: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +133,11 @@ def nearest(vectors: DataFrame, namespaces: DataFrame, queries: DataFrame, k: in
     left = cut(open_)
     exact = _scan(rows, left, k)
     pairs = met.select("query", "id").join(left.select("query"), "query", "left_anti") if exact is not None else met.select("query", "id")
-    own = rows.select(F.col("id").alias("query"), F.col("v").alias("q"))
-    near = pairs.join(own, "query").join(rows.select("id", "v"), "id")
+    # Only vectors that somebody asks for are shuffled; ids are told by a filter of fixed size, chance hits fall out in the join.
+    pairs = cut(pairs)
+    wanted = _only(rows, pairs.select(F.explode(F.array("query", "id")).alias("id")))
+    own = wanted.select(F.col("id").alias("query"), F.col("v").alias("q"))
+    near = pairs.join(own, "query").join(wanted.select("id", "v"), "id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = near.select("query", "id", (dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))).alias("similarity")).dropDuplicates(["query", "id"])
     if exact is not None:
@@ -141,6 +146,22 @@ def nearest(vectors: DataFrame, namespaces: DataFrame, queries: DataFrame, k: in
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id's hash is among those of `ids`."""
+    h = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(FILTER_BITS))
+    got = ids.select(h.alias("h")).groupBy(F.expr("int(h div 64)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(h % 64)))").alias("b")).toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64).view(np.uint64) if len(got) else 0
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            places = np.array([zlib.crc32(x.encode()) % FILTER_BITS for x in batch.column("id").to_pylist()], dtype=np.int64)
+            yield batch.filter(pa.array((held.value[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _scan(rows: DataFrame, left: DataFrame, k: int) -> DataFrame | None:
     """The k best of all rows for the queries that codes can't settle, in blocks of QUERIES_IN_BLOCK; None if there are none."""
     n = left.count()
