@@ -283,7 +283,7 @@ def _arrivals(spark, d):
     return _docs(spark, d).select(F.col("source").alias("tenant_id"), "document_key", F.col("text").alias("content"), F.col("ingested_at").alias("arrived"), F.col("doc_id").alias("id"))
 
 
-_INGEST = "WITH s AS (SELECT source AS tenant_id, document_key, text, ingested_at, doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, h ORDER BY ingested_at, doc_id) = 1 AS is_new FROM s), v AS (SELECT *, CASE WHEN is_new THEN row_number() OVER (PARTITION BY tenant_id, coalesce(document_key, h), is_new ORDER BY ingested_at, doc_id) END AS version, lead(1) OVER (PARTITION BY tenant_id, coalesce(document_key, h), is_new ORDER BY ingested_at, doc_id) AS later FROM n)"
+_INGEST = "WITH s AS (SELECT source AS tenant_id, document_key, text, ingested_at, doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, h ORDER BY ingested_at, doc_id) = 1 AS is_new FROM s), v AS (SELECT *, CASE WHEN is_new THEN row_number() OVER (PARTITION BY tenant_id, coalesce(document_key, h), is_new ORDER BY ingested_at, doc_id) ELSE 0 END AS version, lead(1) OVER (PARTITION BY tenant_id, coalesce(document_key, h), is_new ORDER BY ingested_at, doc_id) AS later FROM n)"
 
 
 @query(f"{_INGEST} SELECT doc_id AS id, is_new, version::BIGINT AS version, is_new AND later IS NOT NULL AS superseded, strlen(text)::BIGINT AS size FROM v")

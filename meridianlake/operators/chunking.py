@@ -138,7 +138,7 @@ def extend(name: str, strategy: Callable) -> None:
     STRATEGIES[name] = strategy
 
 
-def chunk_text(text: str | None, strategy: str, size: int, overlap: int) -> list[tuple]:
+def chunk_text(text: str | None, strategy: str, size: int, overlap: int, function: Callable | None = None) -> list[tuple]:
     """Structs of one text. parent_child: chunks of `size` inside parents of five times the size, parents first."""
     if not text or not text.strip(T.TRIM):
         return []
@@ -148,7 +148,7 @@ def chunk_text(text: str | None, strategy: str, size: int, overlap: int) -> list
         for k, (start, body) in enumerate(parents):
             out += [(len(out) + n, start + at, part, None, k, False) for n, (at, part) in enumerate(recursive(body, size, overlap))]
         return out
-    return [(k, c[0], c[1], c[2] if len(c) > 2 else None, None, False) for k, c in enumerate(STRATEGIES[strategy](text, size, overlap))]
+    return [(k, c[0], c[1], c[2] if len(c) > 2 else None, None, False) for k, c in enumerate((function or STRATEGIES[strategy])(text, size, overlap))]
 
 
 def chunks(docs: DataFrame, text: str, strategy: str = "recursive", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -159,9 +159,7 @@ def chunks(docs: DataFrame, text: str, strategy: str = "recursive", size: int =
 
     @F.pandas_udf(SCHEMA)
     def run(s: pd.Series) -> pd.Series:
-        if function is not None:
-            STRATEGIES[strategy] = function
-        return pd.Series([chunk_text(x if isinstance(x, str) else None, strategy, size, overlap) for x in s])
+        return pd.Series([chunk_text(x if isinstance(x, str) else None, strategy, size, overlap, function) for x in s])
 
     return docs.select("*", F.explode(run(F.col(text))).alias("chunk")).select(*docs.columns, "chunk.*")
 

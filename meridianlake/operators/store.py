@@ -22,7 +22,7 @@ def ingest(sources: DataFrame, existing: DataFrame | None = None, most_bytes: in
     """Sources with content_hash, size, is_new, version and superseded.
 
     sources: tenant_id, document_key, content, arrived. A text that a tenant already holds is not ingested again; a new text
-    under a known key is the next version and supersedes the one before. Texts above `most_bytes` (0: no limit) and null
+    under a known key is the next version and supersedes the one before; what isn't ingested has version 0. Texts above `most_bytes` (0: no limit) and null
     texts are left out.
     """
     rows = sources.where("content is not null").withColumn("content_hash", T.text_hash(F.col("content"))).withColumn("size", F.octet_length(F.col("content").cast("binary")).cast("bigint"))
@@ -35,10 +35,10 @@ def ingest(sources: DataFrame, existing: DataFrame | None = None, most_bytes: in
         rows = rows.join(held, ["tenant_id", "content_hash"], "left").withColumn("is_new", F.col("is_new") & F.col("_held").isNull()).drop("_held")
     own = F.coalesce("document_key", F.col("content_hash"))
     order = Window.partitionBy("tenant_id", own, "is_new").orderBy("arrived", "id")
-    rows = rows.withColumn("version", F.when(F.col("is_new"), F.row_number().over(order)).cast("bigint"))
+    rows = rows.withColumn("version", F.when(F.col("is_new"), F.row_number().over(order)).otherwise(0).cast("bigint"))
     if existing is not None:
         top = existing.groupBy("tenant_id", F.get_json_object("metadata", "$.document_key").alias("document_key")).agg(F.max("version").alias("_top"))
-        rows = rows.join(top, ["tenant_id", "document_key"], "left").withColumn("version", F.col("version") + F.coalesce("_top", F.lit(0))).drop("_top")
+        rows = rows.join(top, ["tenant_id", "document_key"], "left").withColumn("version", F.when(F.col("is_new"), F.col("version") + F.coalesce("_top", F.lit(0))).otherwise(0).cast("bigint")).drop("_top")
     return rows.withColumn("superseded", F.col("is_new") & F.lead("version").over(order).isNotNull())
 
 
