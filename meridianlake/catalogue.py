@@ -151,13 +151,15 @@ def quantize_int8(spark, d):
 
 @query(f"{_PAIRS}, h AS (SELECT qid, id, list_sum(list_transform(list_zip(q, v), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END))::BIGINT AS distance FROM pairs) SELECT qid, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM h) WHERE rank <= 10")
 def binary_hamming_topk(spark, d):
-    bits = lambda c: [V.sign_bits(F.col(c), 0, 32), V.sign_bits(F.col(c), 32, 32)]
-    asked = _asked(spark, d).select("qid", *[b.alias(f"q{k}") for k, b in enumerate(bits("q"))])
-    rows = _vectors(spark, d).select("id", *[b.alias(f"v{k}") for k, b in enumerate(bits("v"))])
-    # The stated query set meets all rows; only its bits are sent out, after a check of their number.
-    asked = F.broadcast(asked) if asked.count() <= 100_000 else asked
-    pairs = rows.crossJoin(asked).select("qid", "id", (F.bit_count(F.col("q0").bitwiseXOR(F.col("v0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("v1")))).cast("long").alias("distance"))
-    return S.ranked(pairs.withColumn("near", -F.col("distance")), 10, "near").select("qid", "id", "distance", F.col("rank").cast("long").alias("rank"))
+    # Of vectors of signs, the product falls by two with each bit in which they differ.
+    signs = lambda c: F.transform(c, lambda x: F.when(x > 0, 1.0).otherwise(-1.0))
+    near = S.exact_topk(_vectors(spark, d).withColumn("v", signs("v")), _asked(spark, d).withColumn("q", signs("q")), 10, "dot")
+    return near.select("qid", "id", ((64 - F.col("score")) / 2).cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT id, list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END))::BIGINT AS ones FROM ({_V})")
+def quantize_binary(spark, d):
+    return _vectors(spark, d).select("id", (F.bit_count(V.sign_bits(F.col("v"), 0, 32)) + F.bit_count(V.sign_bits(F.col("v"), 32, 32))).cast("long").alias("ones"))
 
 
 @query()
@@ -384,6 +386,23 @@ def _strategy(name: str, size: int, overlap: int):
 _QUERIES |= {"chunk_tokens": _strategy("tokens", 120, 20), "chunk_recursive": _strategy("recursive", 500, 100), "chunk_sentence": _strategy("sentence", 500, 1), "chunk_markdown": _strategy("markdown", 800, 100), "chunk_parent_child": _strategy("parent_child", 400, 50)}
 
 
+@query("SELECT source AS tenant_id, count(DISTINCT text) AS embedded, count(*) AS texts FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def embedding_cache(spark, d):
+    from .operators import embedding as EM
+
+    rows = _docs(spark, d).where("text is not null").select(F.col("source").alias("tenant_id"), "text")
+    chunks, fresh = EM.with_cache(rows, None, EM.EMBEDDERS.get("deterministic"), 8)
+    made = fresh.join(chunks.select("key", "tenant_id").distinct(), "key").groupBy("tenant_id").agg(F.count("*").alias("embedded"))
+    return made.join(chunks.where("v is not null").groupBy("tenant_id").agg(F.count("*").alias("texts")), "tenant_id")
+
+
+@query(f"SELECT id, (metadata IS NOT NULL AND json_valid(metadata) AND json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.source_type') IS NOT NULL) AS kept, tenant_id AS tenant FROM {_CHUNKS}")
+def vector_payload(spark, d):
+    readable = F.when(F.try_parse_json("metadata").isNotNull(), F.to_json(F.from_json("metadata", "map<string, string>")))
+    p = ST.payload(readable, tenant_id=F.col("tenant_id"), is_parent=F.lit(False))
+    return _chunks(spark, d).select("id", p.alias("p")).select("id", F.map_contains_key("p", "source_type").alias("kept"), F.element_at("p", "tenant_id").alias("tenant"))
+
+
 # --- retrieval of text ----------------------------------------------------------------------------------------------------
 
 _EMBED = "list_transform(range(0, 8), lambda i: ('0x' || substr(sha256('fake-embed-v1:' || i || ':' || {t}), 1, 8))::UBIGINT::DOUBLE / 4294967295.0::DOUBLE * 2 - 1)"
