@@ -50,7 +50,19 @@ ADDRESSES = [
     re.compile(rf"(?<![\w])(?:{_ES}){_S}{_NAMES}(?:,?{_S}(?:n\.?[ºo°]?{_S}?|nº{_S}?|núm\.{_S}?)?)\d{{1,4}}(?:[a-zA-Z](?!\w))?(?!\w){_CODE_TOWN}"),
     re.compile(rf"(?<![\w\-/.])\d{{1,4}}(?:{_S}?(?:bis|ter|quater|[A-Ca-c](?!\w)))?,?{_S}(?:{_FR}){_S}(?:(?:du|de|des|de la|de l['’]|d['’]|la|le|les){_S}?)*[A-ZÀ-Ý][\w'’\-]*(?:[  \n](?:(?:du|de|des|la|le){_S})*[A-ZÀ-Ý][\w'’\-]*)*{_CODE_TOWN}"),
 ]
-STREET_HINT = re.compile(rf"\b(?:{_EN}|{_IT}|{_ES}|{_FR})(?!\w)|C/|(?:[sS]traße|[sS]trasse|[sS]tr\.|[gG]asse|[aA]llee|[wW]eg|[pP]latz|[dD]amm|[uU]fer|[rR]ing|[sS]teig|[gG]raben|[mM]arkt)\s\d|\b(?:Am|An|Im|In|Auf|Unter|Zum|Zur)(?: der| dem| den)? [A-ZÄÖÜ]\w+ \d")
+
+# What any number of a person holds, and what any street has: told before the patterns proper are tried.
+NUMBERY = re.compile(r"\d[\d\s().\-/]{4,}\d|\d{2}[A-Za-z]\d{2}[A-Za-z]\d{3}")
+DIGIT = re.compile(r"\d")
+STREET_WORDS = frozenset([*_EN.split("|"), *_IT.split("|"), *(w.replace("\\", "") for w in _ES.split("|")), *(w.replace("\\", "").replace("?", "") for w in _FR.split("|")), "bd", "bd.", "av", "Straße", "Strasse", "Str.", "Gasse", "Allee", "Weg", "Platz", "Damm", "Ring", "Am", "Im", "Zum", "Zur"])
+STREET_PARTS = ("straße ", "strasse ", "str. ", "gasse ", "allee ", "weg ", "platz ", "damm ", "ufer ", "ring ", "steig ", "graben ", "markt ", "straße\n", "gasse\n", "allee\n", "weg\n", "platz\n", "graben\n", "An der ", "In der ", "Auf der ", "Auf dem ", "Unter den ", "Unter der ", "Hinter der ", "Hinter dem ", "In den ")
+
+
+def may_hold_street(text: str) -> bool:
+    if not DIGIT.search(text):
+        return False
+    return not STREET_WORDS.isdisjoint(text.replace(",", " ").split()) or any(p in text for p in STREET_PARTS)
+
 
 _CAP = r"(?:[OD]['’])?[A-ZÀ-Ý][\w]*(?:['’][\w]+)?(?:-[A-ZÀ-Ý][\w]*)*"
 _PART = r"(?:von der|von dem|van der|van den|de la|de los|von|van|zu|zum|zur|de|di|da|del|della|dal|dalla|du|des|le|la|Von|Van|Di|De|Del|Della|VON|VAN|DI|DE|DEL|DELLA|DU|LA|LE)"
@@ -113,8 +125,17 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
             spelled = "@" not in m[0]
             if not spelled or re.search(rf"[\(\[]|{SPACE}(?:dot|DOT){SPACE}", m[0]):
                 add(m.start(), m.end(), "email")
-    if not any(c.isdigit() for c in text):
-        return items, taken
+    if NUMBERY.search(text):
+        numbers(text, add)
+    if may_hold_street(text):
+        for pattern in ADDRESSES:
+            for m in pattern.finditer(text):
+                add(m.start(), m.end(), "address")
+    return items, taken
+
+
+def numbers(text: str, add) -> None:
+    """Identity and telephone numbers of a text, the stricter forms first."""
     for m in FISCAL.finditer(text):
         add(m.start(), m.end(), "id_number" if fiscal_ok(m[0]) else None)
     for m in IBAN.finditer(text):
@@ -139,11 +160,6 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
             add(m.start(), m.end(), "phone")
     for m in PHONE_PLAIN.finditer(text):
         add(m.start(), m.end(), "phone")
-    if STREET_HINT.search(text):
-        for pattern in ADDRESSES:
-            for m in pattern.finditer(text):
-                add(m.start(), m.end(), "address")
-    return items, taken
 
 
 def runs(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int, str, str]]]:
@@ -264,7 +280,7 @@ def term_counts(chunks: DataFrame) -> DataFrame:
                             local = re.split(_AT, m[0], maxsplit=1)[0].split("+")[0]
                             mail.update(t for t in (term(x) for x in re.split(r"[._\-\d]+", local)) if len(t) > 2)
                         plain = EMAIL.sub(" ", text)
-                    if STREET_HINT.search(plain):
+                    if may_hold_street(plain):
                         for pattern in ADDRESSES:
                             plain = pattern.sub(" ", plain)
                     words = re.findall(r"[^\W\d_]+", plain)
