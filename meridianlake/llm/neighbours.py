@@ -163,14 +163,15 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _scan(rows: DataFrame, left: DataFrame, k: int) -> DataFrame | None:
-    """The k best of all rows for the queries that codes can't settle, in blocks of QUERIES_IN_BLOCK; None if there are none."""
+    """The k best of all rows for the queries that codes can't settle, in blocks of about QUERIES_IN_BLOCK; None if there are none."""
     n = left.count()
     if not n:
         return None
     asked = left.select("query").join(rows.select(F.col("id").alias("query"), "namespace", "v"), "query").dropDuplicates(["query"])
-    asked = cut(asked.withColumn("block", F.floor((F.row_number().over(Window.orderBy("query")) - 1) / QUERIES_IN_BLOCK)) if n > QUERIES_IN_BLOCK else asked.withColumn("block", F.lit(0).cast("long")))
+    blocks = -(-n // QUERIES_IN_BLOCK)
+    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
     out = None
-    for block in range(-(-n // QUERIES_IN_BLOCK)):
+    for block in range(blocks):
         held = rows.sparkSession.sparkContext.broadcast(asked.where(F.col("block") == block).select("query", "namespace", "v").toArrow())
 
         def run(batches, held=held):
