@@ -44,6 +44,10 @@ class Matcher:
         import ahocorasick
 
         self.anchor, self.least, self.one_in = anchor, least_words, one_in
+        # Wrong words in a row that a stretch may hold whose parts beside them are too short or too wrong to count alone.
+        self.gap = max(1, 2 * (least_words - 1) // max(1, one_in - 1))
+        # Where runs of `anchor` words are short and errors dear, `goes_on` tells without loss of a leak which runs are worth extending.
+        self.screened = 4 * (anchor - 1) <= 3 * (one_in - 1) <= 6 * anchor
         self.passages = {i: normal(p or "") for i, _, p in items}
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.passages.items():
@@ -61,9 +65,9 @@ class Matcher:
             self.auto.make_automaton()
 
     def extend(self, doc: list[str], d: int, passage: list[str], p: int, step: int) -> list[tuple[int, int, bool]]:
-        """(doc index, passage index, matches) from (d, p) on in one direction, until four words fail in a row."""
+        """(doc index, passage index, matches) from (d, p) on in one direction, until more than `gap` words fail in a row."""
         out, failed = [], 0
-        while 0 <= p < len(passage) and 0 <= d < len(doc) and failed < 4:
+        while 0 <= p < len(passage) and 0 <= d < len(doc) and failed <= self.gap:
             if doc[d] == passage[p]:
                 out.append((d, p, True))
                 d, p, failed = d + step, p + step, 0
@@ -83,18 +87,48 @@ class Matcher:
             elif dropped > changed:
                 out.append((-1, p, False))
                 p += step
+            elif not changed and failed == 1 and (over := self.jump(doc, d, passage, p, step)):
+                # Several words added or dropped in a row, some of them changed.
+                i, j = over
+                out += [(d + step * k if k < i else -1, p + step * k if k < j else -1, False) for k in range(max(i, j))]
+                d, p = d + step * i, p + step * j
             else:
                 out.append((d, p, False))
                 d, p = d + step, p + step
         return out
 
-    def goes_on(self, doc: list[str], d: int, passage: list[str], p: int, step: int) -> bool:
-        """Two words match behind one changed, added or dropped word at (d, p)."""
-        for dd, pp in ((d + step, p + step), (d + step, p), (d, p + step)):
-            e, q = dd + step, pp + step
-            if 0 <= dd < len(doc) and 0 <= e < len(doc) and 0 <= pp < len(passage) and 0 <= q < len(passage) and doc[dd] == passage[pp] and doc[e] == passage[q]:
-                return True
-        return False
+    def jump(self, doc: list[str], d: int, passage: list[str], p: int, step: int) -> tuple[int, int] | None:
+        """Words of the document and of the passage to pass over so that three words match behind: fewest errors first; equally many on both sides are changed words and left to `extend`."""
+
+        def alike(dd: int, pp: int) -> bool:
+            for _ in range(3):
+                if not (0 <= dd < len(doc) and 0 <= pp < len(passage) and doc[dd] == passage[pp]):
+                    return False
+                dd, pp = dd + step, pp + step
+            return True
+
+        if not self.goes_on(doc, d, passage, p, step, self.gap):
+            return None
+        for most in range(2, self.gap + 1):
+            if alike(d + step * most, p + step * most):
+                return None
+            for less in range(most - 1, -1, -1):
+                if alike(d + step * most, p + step * less):
+                    return most, less
+                if alike(d + step * less, p + step * most):
+                    return less, most
+        return None
+
+    def goes_on(self, doc: list[str], d: int, passage: list[str], p: int, step: int, most: int) -> bool:
+        """A word matches behind at most `most` wrong words at (d, p).
+
+        A leak has at least one_in - 1 right words for each wrong one. Charge half of a gap's to the run on each side of it:
+        some run of `anchor` words or more can pay the charge of the smaller of its gaps. So every leak that is no exact run
+        holds a run of n words that goes on behind at most 2 * n / (one_in - 1) wrong ones on one side.
+        """
+        ahead = doc[d : d + most + 1] if step > 0 else doc[max(0, d - most) : d + 1]
+        behind = passage[p : p + most + 1] if step > 0 else passage[max(0, p - most) : p + 1]
+        return not set(ahead).isdisjoint(behind)
 
     def best(self, path: list[tuple[int, int, bool]]) -> tuple[int, int, int, int] | None:
         """Longest stretch of the path with enough words of the passage and few enough errors: words, errors, first and last doc index."""
@@ -119,7 +153,7 @@ class Matcher:
             return {}
         line = f" {' '.join(words)} "
         got: dict[int, tuple[int, int, int, int]] = {}
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int, int]] = set()
         at_char, at_word = 0, 0
         for end, (size, places) in self.auto.iter(line):
             start = end - size + 1
@@ -128,16 +162,18 @@ class Matcher:
             for item, k in places:
                 if k < 0:
                     continue
-                diagonal = (item, at_word - k)
-                if diagonal in seen:
+                # Only what a path has covered is known; behind its end the same diagonal may go on.
+                if (item, at_word, k) in seen:
                     continue
-                seen.add(diagonal)
                 passage = self.passages[item]
-                run = self.anchor
-                while k + run < len(passage) and at_word + run < len(words) and words[at_word + run] == passage[k + run]:
-                    run += 1
-                # A run too short by itself must go on behind an error on one of its sides.
-                if run < self.least and not self.goes_on(words, at_word + run, passage, k + run, 1) and not self.goes_on(words, at_word - 1, passage, k - 1, -1):
+                a, b, off = at_word, at_word + self.anchor, at_word - k
+                while a > 0 and a > off and words[a - 1] == passage[a - 1 - off]:
+                    a -= 1
+                while b < len(words) and b - off < len(passage) and words[b] == passage[b - off]:
+                    b += 1
+                most = 2 * (b - a) // (self.one_in - 1) if self.one_in > 1 else 0
+                if b - a < self.least and self.screened and not self.goes_on(words, b, passage, b - off, 1, most) and not self.goes_on(words, a - 1, passage, a - 1 - off, -1, most):
+                    seen.update((item, x, x - off) for x in range(at_word, b))
                     continue
                 right = self.extend(words, at_word, passage, k, 1)
                 if sum(ok for _, _, ok in right) < self.anchor:
@@ -145,7 +181,7 @@ class Matcher:
                 left = self.extend(words, at_word - 1, passage, k - 1, -1)
                 for d, p, ok in right:
                     if ok:
-                        seen.add((item, d - p))
+                        seen.add((item, d, p))
                 match = self.best(left[::-1] + right)
                 if match and (item not in got or match[0] > got[item][0]):
                     got[item] = match

@@ -43,6 +43,22 @@ def test_long_text_and_blocks(spark, monkeypatch):
     assert set(found(spark, [text, text])) == {(0, 7), (1, 7)}
 
 
+def test_errors_next_to_each_other(spark):
+    w, other = WORDS, [f"other{k}" for k in range(9)]
+    texts = [
+        w[:7] + other[:2] + w[9:60],
+        w[:19] + other[:2] + w[21:40],
+        w[:18] + [w[18] + w[19]] + w[20:39],
+        w[:12] + other[:1] + w[13:19] + other[:4] + w[23:60],
+        w[:19] + other[:2] + w[19:38],
+        w[:19] + w[21:40],
+        w[:18] + other[:5] + w[23:41],
+        w[:19] + other[:6] + w[25:44],
+        w[:6] + other[:4] + w[10:16] + other[:4] + w[20:26],
+    ]
+    assert set(found(spark, [" ".join(t) for t in texts])) == {(k, 7) for k in range(7)}
+
+
 @pytest.mark.parametrize("docs, items", [(0, 1), (1, 0)])
 def test_empty(spark, docs, items):
     d = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string").limit(docs)
