@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,12 +139,12 @@ def statistics(text: str) -> dict[str, float]:
     }
 
 
-COLUMNS = ["doc_id", "lang", "words", *(s for s, _ in STATISTICS), "list_share", "table_share", "junk_share"]
-SCHEMA = "doc_id long, lang string, words long, " + ", ".join(f"{s} double" for s, _ in STATISTICS) + ", list_share double, table_share double, junk_share double"
+COLUMNS = ["doc_id", "lang", "copy", "words", *(s for s, _ in STATISTICS), "list_share", "table_share", "junk_share"]
+SCHEMA = "doc_id long, lang string, copy long, words long, " + ", ".join(f"{s} double" for s, _ in STATISTICS) + ", list_share double, table_share double, junk_share double"
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """Statistics of each non-blank text, one row per doc_id; null and blank texts have no row."""
+    """Statistics of each non-blank text, one row per doc_id, and a hash that is the same for its exact copies; null and blank texts have no row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.lower(F.substring(F.trim(F.col("lang").cast("string")), 1, 2)), F.lit("un")).alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
@@ -156,7 +157,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
                 s = statistics(text)
                 plain = s["sentence_density"] >= 0.035 and s["common_share"] >= 0.15 and s["symbol_ratio"] <= 0.12 and s["distinct_share"] >= 0.2
                 k = {"list": 0.0, "table": 0.0, "junk": 0.0} if plain else shares(text)
-                got.append((key, lang, s["words"], *(float(s[x]) for x, _ in STATISTICS), k["list"], k["table"], k["junk"]))
+                got.append((key, lang, xxhash.xxh64_intdigest(text) - (1 << 63), s["words"], *(float(s[x]) for x, _ in STATISTICS), k["list"], k["table"], k["junk"]))
             yield pd.DataFrame(got, columns=COLUMNS)
 
     return rows.mapInPandas(run, SCHEMA)
@@ -179,24 +180,27 @@ def ranks(values: DataFrame, partitions: int | None = None) -> DataFrame:
     return running.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", (F.col("before") + F.col("upto")).alias("at_or_below"), (F.col("total") - F.col("before") - F.col("upto") + F.col("n")).alias("at_or_above"), "total")
 
 
-def quality(docs: DataFrame, tail: float = 0.5, few: int = 50) -> DataFrame:
+def quality(docs: DataFrame) -> DataFrame:
     """One row per document: statistics, outlier score and verdict (prose, list, table or junk).
 
-    A document is an outlier if some statistic lies in the given tail of its language on the side that speaks against prose;
-    of the outliers, those most of whose characters stand in list, table or junk lines get that verdict. Null and blank texts
-    have no row. A missing language is a language of its own; among fewer than `few` texts ranks say nothing and all are looked at. Repeated doc_ids count once. An empty table gives no rows.
+    The verdict is that of most of the characters: where more than half of them stand in list, table or junk lines, the kind
+    with the largest share. It depends on the text alone, not on the rows beside it. The score adds up the surprises of all
+    statistics among the distinct texts of the language (`ranked_among`), so that copies weigh as one; it orders the documents
+    and takes no part in the verdict. Null and blank texts have no row. A missing language is a language of its own.
+    Repeated doc_ids count once. An empty table gives no rows.
     """
     stats = cut(text_statistics(docs).dropDuplicates(["doc_id"]))
-    pairs = [F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s, _ in STATISTICS]
-    long = stats.select("doc_id", "lang", F.explode(F.array(*pairs)).alias("v")).select("doc_id", "lang", "v.stat", "v.value")
+    pairs = F.explode(F.array([F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s, _ in STATISTICS])).alias("v")
+    long = stats.select("doc_id", "lang", pairs).select("doc_id", "lang", "v.stat", "v.value")
+    distinct = stats.dropDuplicates(["lang", "copy"]).select("lang", pairs).select("lang", "v.stat", "v.value")
     low, high = F.col("at_or_below") / F.col("total"), F.col("at_or_above") / F.col("total")
     sides = {side: [s for s, t in STATISTICS if t == side] for side in ("low", "high", "both")}
     p = F.when(F.col("stat").isin(sides["low"]), low).when(F.col("stat").isin(sides["high"]), high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
-    surprise = long.join(ranks(long.drop("doc_id")), ["lang", "stat", "value"]).groupBy("doc_id").agg(F.sum(-F.log(p)).alias("outlier_score"), F.max(-F.log(p)).alias("top_surprise"), F.min("total").alias("ranked_among"))
+    surprise = long.join(ranks(distinct), ["lang", "stat", "value"]).groupBy("doc_id").agg(F.sum(-F.log(p)).alias("outlier_score"), F.max(-F.log(p)).alias("top_surprise"), F.min("total").alias("ranked_among"))
     shares_ = F.greatest("list_share", "table_share", "junk_share")
     kind = F.when(F.col("junk_share") == shares_, "junk").when(F.col("table_share") == shares_, "table").otherwise("list")
-    odd = ((F.col("top_surprise") >= -F.log(F.lit(tail))) | (F.col("ranked_among") < few)) & (F.col("list_share") + F.col("table_share") + F.col("junk_share") > 0.5)
-    return stats.join(surprise, "doc_id").withColumn("verdict", F.when(odd, kind).otherwise("prose"))
+    mostly = F.col("list_share") + F.col("table_share") + F.col("junk_share") > 0.5
+    return stats.drop("copy").join(surprise, "doc_id").withColumn("verdict", F.when(mostly, kind).otherwise("prose"))
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -59,6 +59,14 @@ def test_ranks_are_exact(spark, partitions):
     assert got == want
 
 
+def test_copies_in_one_language(spark):
+    """Copies of a table that make up most of a language come out, and weigh as one text in the ranks."""
+    rows = [(k, TEXTS["table"][0], "fr") for k in range(200)] + [(200 + k, prose(k, 5), "fr") for k in range(60)] + [(300 + k, TEXTS["list"][0], None) for k in range(80)]
+    got = {r.doc_id: r for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {k: "table" if k < 200 else "list" if k >= 300 else "prose" for k, _, _ in rows}
+    assert got[0].ranked_among == 61 and got[300].ranked_among == 1 and got[0].outlier_score > max(got[k].outlier_score for k in range(200, 260))
+
+
 def test_statistics():
     s = Q.statistics("One two. Three!\nfour")
     assert s["words"] == 4 and s["mean_word_length"] == 3.75 and s["line_end_share"] == 0.5 and s["sentence_density"] == 0.5
