@@ -53,17 +53,20 @@ ADDRESSES = [
     re.compile(rf"(?<![\w\-/.])\d{{1,4}}(?:{_S}?(?:bis|ter|quater|[A-Ca-c](?!\w)))?,?{_S}(?:{_FR}){_S}(?:(?:du|de|des|de la|de l['’]|d['’]|la|le|les){_S}?)*[A-ZÀ-Ý][\w'’\-]*(?:[  \n](?:(?:du|de|des|la|le){_S})*[A-ZÀ-Ý][\w'’\-]*)*{_CODE_TOWN}"),
 ]
 
-# What any number of a person holds, and what any street has: told before the patterns proper are tried.
-NUMBERY = re.compile(r"\d[\d\s().\-/]{4,}\d|\d{2}[A-Za-z]\d{2}[A-Za-z]\d{3}")
+# What any mail address, number of a person and street holds: told before the patterns proper are tried. Each takes in all that
+# its patterns accept.
+MAILY = re.compile(r"@|[(\[]\s?(?:at|AT|dot|DOT)\s?[)\]]|\s(?:dot|DOT)\s")
+NUMBERY = re.compile(r"\d[\d\s().\-/]{4,}\d|\d{2}[A-Za-z]\d{2}[A-Za-z]\d{3}|[A-Za-z]{2}\d{2}(?:\s?[A-Za-z0-9]{4}){2}")
 DIGIT = re.compile(r"\d")
-STREET_WORDS = frozenset([*_EN.split("|"), *_IT.split("|"), *(w.replace("\\", "") for w in _ES.split("|")), *(w.replace("\\", "").replace("?", "") for w in _FR.split("|")), "bd", "bd.", "av", "Straße", "Strasse", "Str.", "Gasse", "Allee", "Weg", "Platz", "Damm", "Ring", "Am", "Im", "Zum", "Zur"])
-STREET_PARTS = ("straße ", "strasse ", "str. ", "gasse ", "allee ", "weg ", "platz ", "damm ", "ufer ", "ring ", "steig ", "graben ", "markt ", "straße\n", "gasse\n", "allee\n", "weg\n", "platz\n", "graben\n", "An der ", "In der ", "Auf der ", "Auf dem ", "Unter den ", "Unter der ", "Hinter der ", "Hinter dem ", "In den ")
+TERM = re.compile(r"\w+")
+STREET_WORDS = frozenset(TERM.findall(re.sub(r"\\\.\??", "", f"{_EN}|{_IT}|{_ES.replace('C/|', '')}|{_FR}")))
+STREETY = re.compile(r"(?<!\w)C/\s|(?:(?i:straße|strasse|str\.|gasse|allee|weg|platz|damm|ring)|ufer|steig|graben|markt)\s\d|(?<!\w)(?:Am|Im|Zum|Zur|(?:An|In|Auf|Hinter|Unter)\s(?:der|dem|den))\s[A-ZÄÖÜ]\w+\s\d")
 
 
 def may_hold_street(text: str) -> bool:
     if not DIGIT.search(text):
         return False
-    return not STREET_WORDS.isdisjoint(text.replace(",", " ").split()) or any(p in text for p in STREET_PARTS)
+    return not STREET_WORDS.isdisjoint(TERM.findall(text)) or bool(STREETY.search(text))
 
 
 _CAP = r"(?:[OD]['’])?[A-ZÀ-Ý][\w]*(?:['’][\w]+)?(?:-[A-ZÀ-Ý][\w]*)*"
@@ -122,7 +125,7 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
             if kind:
                 items.append((a, b, kind))
 
-    if "@" in text or "at)" in text or "at]" in text or "AT" in text or " dot " in text:
+    if MAILY.search(text):
         for m in EMAIL.finditer(text):
             spelled = "@" not in m[0]
             if not spelled or re.search(rf"[\(\[]|{SPACE}(?:dot|DOT){SPACE}", m[0]):
@@ -277,7 +280,7 @@ def term_counts(chunks: DataFrame) -> DataFrame:
             for content, metadata in zip(pdf["content"], pdf["metadata"]):
                 for _, _, text in fields(content, metadata):
                     plain = text
-                    if "@" in text or "at)" in text or "at]" in text or " dot " in text:
+                    if MAILY.search(text):
                         for m in EMAIL.finditer(text):
                             local = re.split(_AT, m[0], maxsplit=1)[0].split("+")[0]
                             mail.update(t for t in (term(x) for x in re.split(r"[._\-\d]+", local)) if len(t) > 2)

@@ -42,6 +42,32 @@ def test_forms(text, want):
     assert kinds(text) == want
 
 
+BLANK = ["\u00a0", "\u202f", " "]
+
+
+@pytest.mark.parametrize("before, after", [("at ", "."), ("(", ")"), ("at ", ";"), ("\u201c", "\u201d"), ("at ", "")])
+@pytest.mark.parametrize("street", ["12 Mill Road", "Lindenstraße 5", "Kantstr. 7", "Poststrasse 3", "Domring 9", "Nordufer 4", "Burgdamm 8", "Waldsteig 2", "Rossmarkt 6", "An dem Tor 3", "Hinter den Linden 4", "Via Roma 3", "C/ Mayor 4", "Avda. Norte 5", "3 bd. Voltaire", "4 av. Foch", "5 rue Monge"])
+def test_streets_with_any_blank_and_mark(street, before, after):
+    for blank in [*(b for b in BLANK if b in P._S), "\n"]:
+        text = before + street.replace(" ", blank) + after
+        assert kinds(text) == [("address", street)], text
+
+
+@pytest.mark.parametrize("mail", ["ab ( at ) site.com", "ab [ AT ] site.com", "ab(at)site.com", "ab at site dot com", "ab at site DOT com", "ab AT site DOT com", "ab[at]site [ DOT ] com", "ab at site(dot)com", "ab @ site.com"])
+def test_spelled_mail_with_any_blank(mail):
+    for blank in (b for b in BLANK if b in P.SPACE):
+        assert kinds("to " + mail.replace(" ", blank)) == [("email", mail)]
+
+
+def test_numbers_with_any_separator():
+    for blank in (b for b in BLANK if b in P.SPACE):
+        for number in ("GB29 NWBK 6016 1331 9268 19", "MT31 MALT 0110 0001 2345 MTLC AST0 01S"):
+            if P.iban_ok(number):
+                assert kinds("to " + number.replace(" ", blank)) == [("id_number", number)]
+    flat = next(f"XX{k:02d}A1B2C3D4E5F6" for k in range(2, 99) if P.iban_ok(f"XX{k:02d}A1B2C3D4E5F6"))
+    assert kinds(f"to {flat}.") == [("id_number", flat)]
+
+
 def rows():
     names = ["Keith Harrowham", "Nora Dunstmere", "Alice Pembwick", "Marco Bellaschi", "Jürgen von Wiesenrieder", "Susan O'Merriby"]
     out = []
