@@ -236,8 +236,19 @@ def names_in(text: str, run: list[tuple[int, int, str, str]], score) -> list[tup
     return found
 
 
+# Keys whose hexadecimal values name chunks, documents and contents, and the form of other such values.
+ID_KEYS = frozenset(("chunk_id", "document_id", "checksum"))
+HEXADECIMAL = re.compile(r"[0-9a-fA-F]{8,}(?:-[0-9a-fA-F]{4,}){0,4}")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+
+
+def is_id(path: tuple, text: str) -> bool:
+    key = next((k for k in reversed(path) if isinstance(k, str)), None)
+    return bool(UUID.fullmatch(text) or key in ID_KEYS and HEXADECIMAL.fullmatch(text))
+
+
 def values_of(metadata: str | None):
-    """(path, text) of every string in the JSON object; the raw text where it can't be read."""
+    """(path, text) of every string in the JSON object but ids; the raw text where it can't be read."""
     if not metadata:
         return
     try:
@@ -251,7 +262,7 @@ def values_of(metadata: str | None):
     while stack:
         path, x = stack.pop()
         if isinstance(x, str):
-            if not re.fullmatch(r"[0-9a-fA-F]{8,}(?:-[0-9a-fA-F]{4,}){0,4}", x):
+            if not is_id(path, x):
                 yield path, x
         elif isinstance(x, dict):
             stack += [((*path, k), v) for k, v in x.items()]

@@ -68,6 +68,15 @@ def test_numbers_with_any_separator():
     assert kinds(f"to {flat}.") == [("id_number", flat)]
 
 
+def test_numbers_as_whole_values(spark):
+    dni = next(f"{n}{P.DNI_LETTERS[n % 23]}" for n in range(12345678, 12345778) if P.DNI_LETTERS[n % 23] in "ABCDEF")
+    uuid, digest = "12345678-1234-1234-1234-123456789012", "06123456789"
+    held = {"contact": "06123456789", "note": ["4111111111111111", dni], "chunk_id": digest, "document_id": uuid, "checksum": "4111111111111111", "other": uuid}
+    df = spark.createDataFrame([("a", "no item", json.dumps(held))], "id string, content string, metadata string")
+    assert {(r.field, r.kind, r.found) for r in P.found(df).collect()} == {("metadata", "phone", "06123456789"), ("metadata", "id_number", "4111111111111111"), ("metadata", "id_number", dni)}
+    assert json.loads(P.sanitise(df).collect()[0].metadata) == held | {"contact": "[PHONE]", "note": ["[ID_NUMBER]", "[ID_NUMBER]"]}
+
+
 def rows():
     names = ["Keith Harrowham", "Nora Dunstmere", "Alice Pembwick", "Marco Bellaschi", "Jürgen von Wiesenrieder", "Susan O'Merriby"]
     out = []
