@@ -351,7 +351,7 @@ def markdown_headings(spark, d):
 
 @query()
 def parsed_documents(spark, d):
-    rows = P.parse_documents(_docs(spark, d).where("mime <> 'application/pdf'").withColumn("content", F.col("text").cast("binary")))
+    rows = P.parse_documents(_docs(spark, d).withColumn("content", F.col("text").cast("binary")))
     return rows.select("doc_id", F.char_length("parsed.text").cast("long").alias("chars"), F.size("parsed.sections").cast("long").alias("sections"), "parsed.error")
 
 

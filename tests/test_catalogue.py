@@ -40,6 +40,18 @@ def test_other_queries_give_rows(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
 
 
+def test_every_document_is_parsed(spark):
+    docs = catalogue.table(spark, DATA, "documents").select("doc_id", "mime", "text").distinct().collect()
+    got = {r.doc_id: r for r in catalogue.queries()["parsed_documents"](spark, DATA).collect()}
+    assert set(got) == {r.doc_id for r in docs}
+    assert any(r.mime is None for r in docs) and any(r.mime == "application/pdf" for r in docs)
+    for r in docs:
+        if r.text is not None and r.mime is None:
+            assert got[r.doc_id].error is None and got[r.doc_id].chars == len(r.text)
+        if r.text is not None and r.mime == "application/pdf":
+            assert got[r.doc_id].error == "no parser for application/pdf" and got[r.doc_id].chars is None
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
