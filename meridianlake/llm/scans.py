@@ -1,8 +1,8 @@
 """Repair of text from scanned pages: running lines out, divided words joined, misread words corrected.
 
 The corpus is its own dictionary. A first pass counts words, apart for typed texts and for page layouts; words that stand
-almost only on pages are suspects. Suspects and the words of typed texts meet in a symmetric-delete index: both sides
-enumerate what is left after dropping up to two characters, and a join on the remainders generates the candidates. The
+almost only on pages are suspects. Suspects and the words of typed texts meet in an index of strokes: both sides rewrite
+look-alike glyphs to one form, with nothing left to delete, and a join on the forms generates the candidates. The
 weighted edit distance, in which pairs of look-alike glyphs are cheap, orders them; where two are close, counts of the word
 pairs they would form with their neighbours decide. A second pass over the pages finds the lines and words to repair.
 
@@ -70,15 +70,16 @@ def skeleton(word: str, doubled: bool = False) -> str:
     doubled: two n may also have been read as r and m.
     """
     out = word.lower()
-    if doubled:
-        out = out.replace("rm", "nn")
     for seen, strokes in STROKES:
         out = out.replace(seen, strokes)
+    while doubled and NN_AS_RM[0] in out:
+        out = out.replace(*NN_AS_RM)
     return out
 
 
 # Glyphs and their strokes, wide glyphs first.
-STROKES = (("m", "rn"), ("ü", "u"), ("h", "b"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("w", "vv"), ("é", "6"), ("è", "6"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("e", "c"), ("€", "c"), ("8", "b"), ("0", "o"), ("l", "1"), ("i", "1"), ("|", "1"), ("5", "s"), ("$", "s"), ("9", "g"), ("q", "g"), ("†", "t"), ("ɑ", "a"), ("@", "a"), ("2", "z"))
+STROKES = (("m", "rn"), ("ü", "u"), ("8", "b"), ("h", "b"), ("b", "li"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("w", "vv"), ("é", "6"), ("è", "6"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("e", "c"), ("€", "c"), ("0", "o"), ("l", "1"), ("i", "1"), ("|", "1"), ("5", "s"), ("$", "s"), ("9", "g"), ("q", "g"), ("†", "t"), ("ɑ", "a"), ("@", "a"), ("2", "z"))
+NN_AS_RM = ("rrr1", "r1r1")
 
 
 def core_of(line: str) -> str:
@@ -213,13 +214,11 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
 
 
 def remainders(word: str) -> list[int]:
-    """Hashes of the word and of what is left of it after dropping one or two characters (one for short words)."""
-    seen = {word}
-    last = {word}
-    for _ in range(1 if len(word) <= 4 else 2):
-        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x)) if len(x) > 1}
-        seen |= last
-    return [h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh64_intdigest, seen)]
+    """Hashes of what is left of the word with its look-alike glyphs rewritten to their strokes, one or two.
+
+    Only look-alikes are cheap enough for a repair, and each leaves the same strokes, so nothing need be deleted beyond them.
+    """
+    return [xxhash.xxh64_intdigest(b) - (1 << 63) for b in {skeleton(word), skeleton(word, True)}]
 
 
 def distance(seen: str, true: str) -> float:
@@ -247,7 +246,7 @@ def distance(seen: str, true: str) -> float:
 
 
 def candidates(counts: DataFrame, most: float = 0.9) -> DataFrame:
-    """(word, candidate, cased, cost, n): repairs of suspect words from the symmetric-delete index, cost at most `most`."""
+    """(word, candidate, cased, cost, n): repairs of suspect words from the index of strokes, cost at most `most` and nothing but look-alikes."""
     words = counts.where("kind = 'word'").withColumn("low", F.lower("word"))
     lower = words.groupBy("low").agg(F.sum("typed").alias("typed"), F.sum("paged").alias("paged"), F.max_by("word", F.struct(F.col("typed") + F.col("paged"), F.col("word"))).alias("cased"))
     suspects = lower.where((F.col("paged") > 0) & (F.col("typed") <= 0.3 * F.col("paged")) & F.col("low").rlike(r"\p{L}") & (F.length("low") >= 2) & (F.length("low") <= 40)).select(F.col("low").alias("word"), F.lit(True).alias("suspect"), (F.col("typed") + F.col("paged")).alias("n"), "cased")
@@ -255,14 +254,14 @@ def candidates(counts: DataFrame, most: float = 0.9) -> DataFrame:
 
     def index(frames):
         for pdf in frames:
-            yield pd.DataFrame({"word": pdf["word"], "suspect": pdf["suspect"], "n": pdf["n"], "cased": pdf["cased"], "bones": [[xxhash.xxh32_intdigest(b) for b in {skeleton(w), skeleton(w, True)}] for w in pdf["word"]], "keys": [remainders(w) for w in pdf["word"]]})
-
-    both = suspects.unionByName(known).mapInPandas(index, "word string, suspect boolean, n long, cased string, bones array<long>, keys array<long>")
-    entries = cut(both.select("word", "suspect", "n", "cased", "bones", F.explode("keys").alias("key")).select("word", "suspect", "n", "cased", "key", F.explode("bones").alias("bones")))
-    a = entries.where("suspect").select("word", F.col("n").alias("seen"), "bones", "key")
-    b = entries.where("not suspect").select(F.col("word").alias("candidate"), "n", "cased", "bones", "key")
-    # Words that can be read as each other have the same strokes; a join on both keeps chance meetings out.
-    pairs = a.join(b, ["key", "bones"]).where("n > seen and word <> candidate").select("word", "candidate", "cased", "n").distinct()
+            yield pd.DataFrame({"word": pdf["word"], "suspect": pdf["suspect"], "n": pdf["n"], "cased": pdf["cased"], "keys": [remainders(w) for w in pdf["word"]]})
+
+    both = suspects.unionByName(known).mapInPandas(index, "word string, suspect boolean, n long, cased string, keys array<long>")
+    entries = cut(both.select("word", "suspect", "n", "cased", F.explode("keys").alias("key")))
+    a = entries.where("suspect").select("word", F.col("n").alias("seen"), "key")
+    b = entries.where("not suspect").select(F.col("word").alias("candidate"), "n", "cased", "key")
+    # Words that can be read as each other have the same strokes, of any length and with any number of misread glyphs.
+    pairs = a.join(b, "key").where("n > seen and word <> candidate").select("word", "candidate", "cased", "n").distinct()
 
     def cost(frames):
         for pdf in frames:

@@ -50,3 +50,14 @@ def test_distance_and_strokes():
 def test_remainders_meet():
     assert set(S.remainders("modern")) & set(S.remainders("rnodern"))
     assert set(S.remainders("interne")) & set(S.remainders("inteme"))
+
+
+def test_every_look_alike_meets(spark):
+    for true, seen in S.CONFUSIONS:
+        for a, b in ((true, seen), (f"a{true}o", f"a{seen}o"), (true * 2, seen * 2), (f"{true}ent{true}", f"{seen}ent{seen}")):
+            assert set(S.remainders(a)) & set(S.remainders(b)), (a, b)
+    assert set(S.remainders("annorm")) & set(S.remainders("armorrn"))
+    pairs = [("tlie", "the"), ("vvas", "was"), ("rnan", "man"), ("clay", "day"), ("bam", "barn"), ("rnode1", "model"), ("rnernory", "memory"), ("cornrnunicatiori", "communication")]
+    rows = [("word", seen, 0, 1) for seen, _ in pairs] + [("word", true, 9, 2) for _, true in pairs] + [("word", "thc", 0, 1), ("word", "zorvex", 0, 3)]
+    got = {(r.word, r.candidate) for r in S.candidates(spark.createDataFrame(rows, "kind string, word string, typed long, paged long")).collect()}
+    assert got == {*pairs, ("thc", "the")}
