@@ -37,6 +37,17 @@ def test_neighbours_share_words():
     assert index.neighbours(0).tolist() == [1] and index.neighbours(3).tolist() == [] and index.neighbours(4).tolist() == []
 
 
+def test_late_seeds_keep_their_neighbours():
+    """Of two hot groups of alike texts without a common word, no container mixes them while unused ones are left."""
+    tokens = [np.r_[np.arange(20), 40 + k] + 1000 * (k % 2) for k in range(240)]
+    index = P.Index(tokens)
+    assert len(index.neighbours(0)) == 119
+    mixed = [held for held in P.pack([21] * 240, 210, index) if len({d % 2 for d, _, _ in held}) > 1]
+    assert mixed == []
+    many = P.Index([np.arange(100), *(np.array([k]) for k in range(100))])
+    assert len(many.neighbours(0)) == 100
+
+
 def test_empty(spark):
     docs, windows, _ = table(spark)
     assert P.pack_documents(docs.limit(0), windows).count() == 0 and P.pack_documents(docs, windows.limit(0)).count() == 0
