@@ -18,19 +18,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df once and go on from the written copy: a reliable checkpoint in the shared folder of the session.
 
-    A folder is set only where the session names none (tests on one machine).
+    The folder is spark.checkpoint.dir or the one the context was given; a session that names none is refused, as a folder of
+    one machine would be lost to the others.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
-            named = tempfile.mkdtemp(prefix="checkpoint-")
+            named = tempfile.mkdtemp(prefix="checkpoint-")  # one machine, as in tests
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few fields each that may be sent to all executors: below some 100 MB.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a hint to broadcast it if it has at most SMALL_ROWS rows; a larger one is joined as any table."""
+    held = cut(df)
+    return F.broadcast(held) if held.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else held
+
+
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence; blanks between sentences belong to none."""
     spans, at = [], 0

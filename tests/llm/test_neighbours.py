@@ -38,7 +38,7 @@ def test_recall_against_brute_force(spark):
     assert np.mean([len(got[i] & want[i]) / 10 for i in want]) >= 0.97
 
 
-def test_scan_settles_what_codes_cant(spark):
+def test_small_namespace_is_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(f"v{k}", "ns0", [float(x) for x in rng.normal(size=64)]) for k in range(40)]
     vectors = spark.createDataFrame(rows, "id string, namespace string, embedding array<float>")
@@ -67,5 +67,52 @@ def test_probes(spark):
 
 @pytest.mark.parametrize("radius, size", [(0, 1), (1, 16), (2, 120), (3, 560)])
 def test_masks(radius, size):
-    m = N.masks(radius)
+    m = N.masks(16, radius)
     assert len(set(m.tolist())) == size and all(bin(x).count("1") == radius for x in m.tolist())
+
+
+def test_ball_stays_a_small_share_of_the_keys():
+    for bits in range(1, 17):
+        r = N.last_radius(bits)
+        assert r == 0 or 28 * sum(N.comb(bits, i) for i in range(r + 1)) <= 1 << bits
+
+
+def test_probes_meet_every_code_within_the_radius():
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(4000, 32)).astype(np.float32)
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    index = N.Index(X, N.learn(X[:500]))
+    covered = index.parts * (N.last_radius(index.sub) + 1) - 1
+    for q in X[::500]:
+        apart = (N.encode(X, index.model) != N.encode(q[None, :], index.model)).sum(1)
+        assert set(np.flatnonzero(apart <= covered)) <= set(index.near(q, 4000).tolist())
+
+
+def test_recall_where_nothing_is_clustered(spark, monkeypatch):
+    """Vectors without any groups, several shards and blocks of queries: no shard is small enough to be read whole."""
+    rng = np.random.default_rng(9)
+    rows = [(f"v{k:05d}", "ns0", [float(np.float32(x)) for x in rng.normal(size=32)]) for k in range(5000)]
+    vectors = spark.createDataFrame(rows, "id string, namespace string, embedding array<float>")
+    names = spark.createDataFrame([("ns0", 32)], "namespace string, dimensions int")
+    monkeypatch.setattr(N, "SHARD_ROWS", 2500)
+    monkeypatch.setattr(N, "QUERIES_IN_BLOCK", 30)
+    asked = [r[0] for r in rows[::100]]
+    got = {}
+    for r in N.nearest(vectors, names, spark.createDataFrame([(i,) for i in asked], "query string")).collect():
+        got.setdefault(r.query, set()).add(r.id)
+    X = np.array([r[2] for r in rows])
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    recall = []
+    for k in range(0, 5000, 100):
+        s = X @ X[k]
+        s[k] = -9
+        recall.append(len({rows[j][0] for j in np.argsort(-s)[:10]} & got[rows[k][0]]) / 10)
+    assert all(len(x) == 10 for x in got.values()) and np.mean(recall) >= 0.93
+
+
+def test_ties_go_by_id(spark):
+    names = spark.createDataFrame([("n", 2)], "namespace string, dimensions int")
+    rows = [(f"i{k:04d}", "n", [1.0, 1.0]) for k in range(700)]
+    vectors = spark.createDataFrame(rows, "id string, namespace string, embedding array<float>")
+    got = N.nearest(vectors, names, spark.createDataFrame([("i0003",)], "query string"), k=5).orderBy("rank").collect()
+    assert [r.id for r in got] == ["i0000", "i0001", "i0002", "i0004", "i0005"]
