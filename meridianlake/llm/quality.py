@@ -1,15 +1,19 @@
 """Per-document text statistics, exact ranks within a language, outlier scores and a verdict.
 
-One map-only pass over the texts gives the statistics and the shares of characters in list, table and junk lines. The
-values are counted per (language, statistic, value), range-partitioned, and ranked by running counts plus the offsets of
-the partitions before: exact ranks without a sort of one language in one task. Each rank becomes an empirical tail
-probability; the score of a document adds up their negative logarithms.
+A first pass learns the common words of each language. One map-only pass over the texts gives the statistics, among them the
+share of characters in list, table and junk lines. The values are range-partitioned by (language, statistic, value) with a
+salt, so that a value which many texts share is spread over several partitions; counts within a partition plus the offsets of
+the partitions before are exact ranks, without a sort of one language in one task. Each rank becomes an empirical tail
+probability; the score of a document adds up their negative logarithms and decides which documents are outliers. Their lines
+then tell the kind, and whether it is that of most of the characters.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -17,17 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-# Frequent function words of the five languages.
-COMMON = frozenset(
-    "the of and is in to with at for on by that from was were are be has not this or an it as if where which "
-    "il la lo le di che e con per del della dei non un una sono stati nel da è al dal anche si gli ha "
-    "der die das und mit von den dem des nicht ein eine im zu wurden ist auf wie für bis an oder aus "
-    "les du et un une des dans pour par que qui ne pas sur au aux ont été est en ce plus sans "
-    "el los las de y en con que una para por se no su fueron ha más sin al del es como".split()
-)
-
 #: (statistic, tail that speaks against prose)
-STATISTICS = (("sentence_density", "low"), ("line_end_share", "low"), ("common_share", "low"), ("symbol_ratio", "high"), ("digit_ratio", "high"), ("mean_word_length", "both"), ("distinct_share", "low"))
+STATISTICS = (("sentence_density", "low"), ("line_end_share", "low"), ("common_share", "low"), ("symbol_ratio", "high"), ("digit_ratio", "high"), ("mean_word_length", "both"), ("distinct_share", "low"), ("formed_share", "high"))
+SIDES = dict(STATISTICS)
+#: Score from which on a document is an outlier: the mean of as many independent surprises.
+OUTLIER = float(len(STATISTICS))
+#: The ranks among the texts of all languages.
+ALL = "*"
+#: Common words are the most widespread ones of a language that stand in a twentieth of its texts, for languages with at least
+#: LEAST_SHARE of the texts.
+COMMON_WORDS = 60
+LEAST_SHARE = 0.005
+#: Range-partitioned rows of one task, about.
+ROWS_IN_TASK = 250_000
 
 WORD = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?…][\"'»”’)\]*]*(?=\s|$)")
@@ -77,7 +83,7 @@ def line_kind(line: str) -> str | None:
     return None
 
 
-def shares(text: str) -> dict[str, float]:
+def shares(text: str, common: frozenset[str]) -> dict[str, float]:
     """Share of the non-blank characters that stand in list, table and junk lines."""
     total, got, open_run = 0, {"list": 0, "table": 0, "junk": 0}, []
 
@@ -105,7 +111,7 @@ def shares(text: str) -> dict[str, float]:
                 items = re.split(r"[,;/·|•]\s|\s[-–/|>→»]\s", line)
                 if len(items) >= 5 and len(words) <= 6 * len(items):
                     kind = "list"
-                elif len(words) >= 12 and sum(w in COMMON for w in words) <= 0.08 * len(words):
+                elif len(words) >= 12 and sum(w in common for w in words) <= 0.08 * len(words):
                     kind = "junk"
         if kind is None and not END.search(line.rstrip()) and not line.rstrip().endswith((":", ",")) and n < 90:
             open_run.append(n)
@@ -121,7 +127,7 @@ def shares(text: str) -> dict[str, float]:
     return out
 
 
-def statistics(text: str) -> dict[str, float]:
+def statistics(text: str, common: frozenset[str]) -> dict[str, float]:
     words = WORD.findall(text.lower())
     lines = [x for x in text.split("\n") if x.strip()]
     n, visible = len(words), max(1, len(text) - text.count(" ") - text.count("\n"))
@@ -133,7 +139,7 @@ def statistics(text: str) -> dict[str, float]:
         "symbol_ratio": round(max(0.0, 1 - letters / visible), 4),
         "digit_ratio": round(digits / visible, 4),
         "line_end_share": round(sum(x.rstrip().endswith((".", "!", "?", "…", '."', ".»", ".)", ":")) for x in lines) / max(1, len(lines)), 4),
-        "common_share": round(sum(map(COMMON.__contains__, words)) / n, 4) if n else 0.0,
+        "common_share": round(sum(map(common.__contains__, words)) / n, 4) if n else 0.0,
         "distinct_share": round(len(set(words)) / n, 4) if n else 0.0,
         "sentence_density": round(max(0, len(END.findall(text)) - len(NUMBERED.findall(text))) / n, 4) if n else 0.0,
     }
@@ -143,64 +149,151 @@ COLUMNS = ["doc_id", "lang", "copy", "words", *(s for s, _ in STATISTICS), "list
 SCHEMA = "doc_id long, lang string, copy long, words long, " + ", ".join(f"{s} double" for s, _ in STATISTICS) + ", list_share double, table_share double, junk_share double"
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """Statistics of each non-blank text, one row per doc_id, and a hash that is the same for its exact copies; null and blank texts have no row."""
+def _rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.lower(F.substring(F.trim(F.col("lang").cast("string")), 1, 2)), F.lit("un")).alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    return rows.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+
+
+def common_words(docs: DataFrame) -> frozenset[str]:
+    """The COMMON_WORDS words that most texts of a language hold, of every language with LEAST_SHARE of the texts.
+
+    All texts are counted, but for those that stand in more than a hundredth of all rows: copies of at most a hundred texts. One set for all languages, since labels are missing or wrong.
+    """
+    rows = _rows(docs)
+    total = rows.count()
+    copies = [r["copy"] for r in rows.groupBy(F.xxhash64("text").alias("copy")).count().where(F.col("count") > max(1, total // 100)).select("copy").collect()]  # at most 100 rows
+    once = rows.where(~F.xxhash64("text").isin(copies)) if copies else rows
+
+    def count(frames):
+        held: dict[str, Counter] = {}
+        for pdf in frames:
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                held.setdefault(lang, Counter()).update(set(WORD.findall(text.lower())))
+            if sum(map(len, held.values())) > 500_000:
+                yield _flat(held)
+                held = {}
+        yield _flat(held)
+
+    counted = once.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    large = {r["lang"]: r["count"] for r in once.groupBy("lang").count().where(F.col("count") >= max(1, total * LEAST_SHARE)).collect()}  # at most 1 / LEAST_SHARE rows
+    # The group limit leaves COMMON_WORDS words of a language in each task before anything is shuffled.
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    least = F.create_map(*[F.lit(x) for lang, n in large.items() for x in (lang, max(2.0, n / 20))]) if large else F.create_map().cast("map<string, double>")
+    best = counted.where(F.col("n") >= F.try_element_at(least, "lang")).where(F.col("word").rlike(r"^\p{L}+$")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON_WORDS)
+    return frozenset(r["word"] for r in best.select("word").collect())  # COMMON_WORDS / LEAST_SHARE rows at most
+
+
+def _flat(held: dict[str, Counter]) -> pd.DataFrame:
+    return pd.DataFrame([(lang, w, n) for lang, counter in held.items() for w, n in counter.items()], columns=["lang", "word", "n"])
+
+
+def text_statistics(docs: DataFrame, common: frozenset[str]) -> DataFrame:
+    """Statistics of each non-blank text, one row per doc_id, and a hash that is the same for its exact copies; null and blank texts have no row."""
+    held = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_WORDS / LEAST_SHARE words at most
 
     def run(frames):
+        words = held.value
         for pdf in frames:
             got = []
             for key, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
                 if not text.strip():
                     continue
-                s = statistics(text)
-                plain = s["sentence_density"] >= 0.035 and s["common_share"] >= 0.15 and s["symbol_ratio"] <= 0.12 and s["distinct_share"] >= 0.2
-                k = {"list": 0.0, "table": 0.0, "junk": 0.0} if plain else shares(text)
+                k = shares(text, words)
+                s = statistics(text, words) | {"formed_share": sum(k.values())}
                 got.append((key, lang, xxhash.xxh64_intdigest(text) - (1 << 63), s["words"], *(float(s[x]) for x, _ in STATISTICS), k["list"], k["table"], k["junk"]))
             yield pd.DataFrame(got, columns=COLUMNS)
 
-    return rows.mapInPandas(run, SCHEMA)
+    return _rows(docs).mapInPandas(run, SCHEMA)
 
 
-def ranks(values: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(lang, stat, value) with the exact number of rows at or below and at or above the value within (lang, stat).
+def tails(values: DataFrame) -> DataFrame:
+    """values with at_or_below, at_or_above and total: exact ranks of each row's value within (lang, stat).
 
-    values: lang, stat, value, one row per observation. Ties share their tails. The work of one language is spread over the
-    range partitions; only the partitions' totals, at most partitions x languages x statistics rows, are put in one order.
+    values: key, lang, stat, value, weight. Rows of weight 1 are counted, those of weight 0 ranked among them. Ties share their
+    tails, in whichever partitions they lie. What comes to the driver is a row for each partition and each (lang, stat) that
+    begins in it: bounded by partitions + languages x statistics.
     """
-    n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = values.groupBy("lang", "stat", "value").agg(F.count("*").alias("n"))
-    ranged = cut(counted.repartitionByRange(n, "lang", "stat", "value").withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part", "lang", "stat").orderBy("value")
-    running = ranged.withColumn("upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = ranged.groupBy("lang", "stat", "part").agg(F.sum("n").alias("held"))
-    across = Window.partitionBy("lang", "stat").orderBy("part")
-    offsets = totals.select("lang", "stat", "part", (F.sum("held").over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy("lang", "stat")).alias("total"))
-    return running.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", (F.col("before") + F.col("upto")).alias("at_or_below"), (F.col("total") - F.col("before") - F.col("upto") + F.col("n")).alias("at_or_above"), "total")
+    spark = values.sparkSession
+    rows = values.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_IN_TASK))
+    order = ["lang", "stat", "value"]
+    ranged = cut(values.repartitionByRange(parts, *order, F.xxhash64("key").alias("salt")).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+
+    def whole(frames) -> pd.DataFrame | None:
+        frames = list(frames)  # one range of about ROWS_IN_TASK rows
+        return pd.concat(frames, ignore_index=True) if frames else None
+
+    def summed(frames):
+        pdf = whole(frames)
+        if pdf is None or pdf.empty:
+            return
+        g = pdf.groupby(["part", "lang", "stat"], sort=True)
+        out = g.agg(n=("weight", "sum"), first=("value", "first"), last=("value", "last")).reset_index()
+        ends = pdf.merge(out, on=["part", "lang", "stat"])
+        for end in ("first", "last"):
+            out[f"{end}_n"] = ends["weight"].where(ends["value"] == ends[end], 0).groupby([ends["part"], ends["lang"], ends["stat"]]).sum().to_numpy()
+        yield out
+
+    got = ranged.mapInPandas(summed, "part int, lang string, stat string, n long, first double, last double, first_n long, last_n long").toPandas()
+    got = got.sort_values(["lang", "stat", "part"], ignore_index=True)
+    known: dict[tuple[int, str, str], tuple[int, int, int, int]] = {}
+    for (lang, stat), g in got.groupby(["lang", "stat"]):
+        n, total = g["n"].to_numpy(), int(g["n"].sum())
+        before = np.cumsum(n) - n
+        # Equal values of the partitions beside: runs of partitions whose ends meet.
+        earlier, later = np.zeros(len(g), dtype=np.int64), np.zeros(len(g), dtype=np.int64)
+        first, last, first_n, last_n = (g[c].to_numpy() for c in ("first", "last", "first_n", "last_n"))
+        for k in range(1, len(g)):
+            if last[k - 1] == first[k]:
+                earlier[k] = last_n[k - 1] + (earlier[k - 1] if first[k - 1] == last[k - 1] else 0)
+        for k in range(len(g) - 2, -1, -1):
+            if first[k + 1] == last[k]:
+                later[k] = first_n[k + 1] + (later[k + 1] if first[k + 1] == last[k + 1] else 0)
+        for k, part in enumerate(g["part"]):
+            known[int(part), lang, stat] = (int(before[k]), int(earlier[k]), int(later[k]), total)
+    held = spark.sparkContext.broadcast(known)
+
+    def ranked(frames):
+        pdf = whole(frames)
+        if pdf is None or pdf.empty:
+            return
+        for (part, lang, stat), g in pdf.groupby(["part", "lang", "stat"], sort=False):
+            before, earlier, later, total = held.value[int(part), lang, stat]
+            value, weight = g["value"].to_numpy(), g["weight"].to_numpy()
+            upto = np.concatenate([[0], np.cumsum(weight)])
+            low, high = np.searchsorted(value, value, "left"), np.searchsorted(value, value, "right")
+            below = before + upto[high] + np.where(value == value[-1], later, 0)
+            above = total - before - upto[low] + np.where(value == value[0], earlier, 0)
+            yield pd.DataFrame({"key": g["key"], "lang": lang, "stat": stat, "value": value, "at_or_below": below, "at_or_above": above, "total": total})
+
+    return ranged.mapInPandas(ranked, "key long, lang string, stat string, value double, at_or_below long, at_or_above long, total long")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row per document: statistics, outlier score and verdict (prose, list, table or junk).
 
-    The verdict is that of most of the characters: where more than half of them stand in list, table or junk lines, the kind
-    with the largest share. It depends on the text alone, not on the rows beside it. The score adds up the surprises of all
-    statistics among the distinct texts of the language (`ranked_among`), so that copies weigh as one; it orders the documents
-    and takes no part in the verdict. Null and blank texts have no row. A missing language is a language of its own.
-    Repeated doc_ids count once. An empty table gives no rows.
+    The score adds up the surprises (negative logarithms of the tail probabilities) of all statistics; a tail is the smaller one
+    of those among the distinct texts of the language and of all languages, so copies weigh as one text and texts with a rare,
+    missing or wrong label are told by all others. Documents from OUTLIER on are outliers; an outlier of whose characters more
+    than half stand in list, table or junk lines gets the kind with the largest share, any other text is prose. Where most
+    of all texts are no prose, they are no outliers. Null and blank texts have no row. A missing language is a
+    language of its own. Repeated doc_ids count once. An empty table gives no rows.
     """
-    stats = cut(text_statistics(docs).dropDuplicates(["doc_id"]))
-    pairs = F.explode(F.array([F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s, _ in STATISTICS])).alias("v")
-    long = stats.select("doc_id", "lang", pairs).select("doc_id", "lang", "v.stat", "v.value")
-    distinct = stats.dropDuplicates(["lang", "copy"]).select("lang", pairs).select("lang", "v.stat", "v.value")
+    stats = cut(text_statistics(docs, common_words(docs)).dropDuplicates(["doc_id"]))
+    first = stats.groupBy("lang", "copy").agg(F.min("doc_id").alias("doc_id"))
+    every = stats.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
+    weights = first.select("doc_id", F.lit(1).alias("own")).join(every.select("doc_id", F.lit(1).alias("any")), "doc_id", "left")
+    pairs = F.explode(F.array([F.struct(lang.alias("lang"), F.lit(s).alias("stat"), F.col(s).alias("value"), weight.alias("weight")) for s, _ in STATISTICS for lang, weight in ((F.col("lang"), F.coalesce("own", F.lit(0))), (F.lit(ALL), F.coalesce("any", F.lit(0))))])).alias("v")
+    long = stats.join(weights, "doc_id", "left").select(F.col("doc_id").alias("key"), pairs).select("key", "v.lang", "v.stat", "v.value", F.col("v.weight").cast("long").alias("weight"))
     low, high = F.col("at_or_below") / F.col("total"), F.col("at_or_above") / F.col("total")
     sides = {side: [s for s, t in STATISTICS if t == side] for side in ("low", "high", "both")}
     p = F.when(F.col("stat").isin(sides["low"]), low).when(F.col("stat").isin(sides["high"]), high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
-    surprise = long.join(ranks(distinct), ["lang", "stat", "value"]).groupBy("doc_id").agg(F.sum(-F.log(p)).alias("outlier_score"), F.max(-F.log(p)).alias("top_surprise"), F.min("total").alias("ranked_among"))
-    shares_ = F.greatest("list_share", "table_share", "junk_share")
-    kind = F.when(F.col("junk_share") == shares_, "junk").when(F.col("table_share") == shares_, "table").otherwise("list")
-    mostly = F.col("list_share") + F.col("table_share") + F.col("junk_share") > 0.5
-    return stats.drop("copy").join(surprise, "doc_id").withColumn("verdict", F.when(mostly, kind).otherwise("prose"))
+    each = tails(long).select("key", "stat", p.alias("p"), F.when(F.col("lang") != ALL, F.col("total")).alias("total")).groupBy("key", "stat").agg((-F.log(F.min("p"))).alias("s"), F.max("total").alias("total"))
+    surprise = each.groupBy(F.col("key").alias("doc_id")).agg(F.sum("s").alias("outlier_score"), F.max("s").alias("top_surprise"), F.max_by("stat", "s").alias("top_statistic"), F.max("total").alias("ranked_among"))
+    most = F.greatest("list_share", "table_share", "junk_share")
+    kind = F.when(F.col("junk_share") == most, "junk").when(F.col("table_share") == most, "table").otherwise("list")
+    outlier = (F.col("outlier_score") >= OUTLIER) & (F.col("formed_share") > 0.5)
+    return stats.drop("copy").join(surprise, "doc_id").withColumn("verdict", F.when(outlier, kind).otherwise("prose"))
 
 
 def found(docs: DataFrame) -> DataFrame:

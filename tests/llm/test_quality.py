@@ -49,14 +49,38 @@ def test_verdicts(spark):
 
 @pytest.mark.parametrize("partitions", [1, 3, 7])
 def test_ranks_are_exact(spark, partitions):
+    """Also for a value that fills several partitions, and for rows that are ranked without being counted."""
     r = random.Random(partitions)
-    values = [(lang, stat, float(r.randint(0, 12))) for lang in "ab" for stat in "xy" for _ in range(r.randint(1, 90))] + [("hot", "x", 1.0)] * 200
-    got = {(g.lang, g.stat, g.value): (g.at_or_below, g.at_or_above, g.total) for g in Q.ranks(spark.createDataFrame(values, "lang string, stat string, value double"), partitions).collect()}
-    want = {}
-    for lang, stat, v in set(values):
-        own = [x for a, b, x in values if (a, b) == (lang, stat)]
-        want[lang, stat, v] = (sum(x <= v for x in own), sum(x >= v for x in own), len(own))
-    assert got == want
+    values = [(lang, stat, float(r.randint(0, 12)), r.randint(0, 1)) for lang in "ab" for stat in "xy" for _ in range(r.randint(1, 90))] + [("hot", "x", 1.0, 1)] * 300 + [("hot", "x", 2.0, 1), ("hot", "x", 0.0, 0)]
+    rows = [(k, *v) for k, v in enumerate(values)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {g.key: (g.at_or_below, g.at_or_above, g.total) for g in Q.tails(spark.createDataFrame(rows, "key long, lang string, stat string, value double, weight long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    for k, lang, stat, v, _ in rows:
+        own = [x for a, b, x, w in values if (a, b) == (lang, stat) and w]
+        assert got[k] == (sum(x <= v for x in own), sum(x >= v for x in own), len(own)), (lang, stat, v)
+
+
+def test_common_words_are_learned(spark):
+    """Copies of one text don't make its words common."""
+    rows = [(k, prose(k, 6), "en") for k in range(90)] + [(100 + k, "zebra " * 30 + "quagga", "en") for k in range(60)] + [(200 + k, f"el plan {k} está en la mesa y no se mueve", "es") for k in range(20)]
+    got = Q.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"the", "of", "was", "in", "el", "la"} <= got and "zebra" not in got
+
+
+def test_the_score_decides(spark):
+    """A text in list lines whose statistics are those of most texts is no outlier; the same text among prose is one."""
+    listed = [(k, "\n".join(f"- the {w} of the {w} was in the plan" for w in W[:5]) + f" {k}.", "en") for k in range(40)]
+    texts = [(1000 + k, prose(k, 6), "en") for k in range(200)]
+    schema = "doc_id long, text string, lang string"
+    few = {r.doc_id: r.verdict for r in Q.quality(spark.createDataFrame(listed[:3] + texts, schema)).collect()}
+    many = {r.doc_id: r.verdict for r in Q.quality(spark.createDataFrame(listed + texts[:2], schema)).collect()}
+    assert few[0] == few[1] == few[2] == "list" and all(few[1000 + k] == "prose" for k in range(200))
+    assert sum(many[k] == "prose" for k in range(40)) > 30
 
 
 def test_copies_in_one_language(spark):
@@ -68,8 +92,8 @@ def test_copies_in_one_language(spark):
 
 
 def test_statistics():
-    s = Q.statistics("One two. Three!\nfour")
-    assert s["words"] == 4 and s["mean_word_length"] == 3.75 and s["line_end_share"] == 0.5 and s["sentence_density"] == 0.5
+    s = Q.statistics("One two. Three!\nfour", frozenset(["two"]))
+    assert s["words"] == 4 and s["mean_word_length"] == 3.75 and s["line_end_share"] == 0.5 and s["sentence_density"] == 0.5 and s["common_share"] == 0.25
 
 
 def test_empty(spark):
