@@ -48,43 +48,59 @@ GAP = re.compile(r"\S {3,}(?=\S)")
 WIDE = re.compile(r"\S {7,}\S")
 
 
-def line_kind(line: str) -> str | None:
-    """list, table or junk by the form of one line alone; None if the form says nothing."""
+SIGN = re.compile(r"[^\w\s]|_")
+HIGH = re.compile(r"[^\x00-\x7f]")
+STRIPPED = ".,;:-"
+ITEMS = re.compile(r"[,;/·|•]\s|\s[-–/|>→»]\s")
+SEPARATORS = ",;/·|•-–>→»"
+SENTENCES = re.compile(r"[.!?\n]+")
+
+
+def line_kind(line: str, letters: int) -> str | None:
+    """list, table or junk by the form of one line alone; None if the form says nothing. letters: those in its words.
+
+    Each costly test stands behind one that it implies.
+    """
     if HEX.match(line):
         return "junk"
-    n = len(line)
+    n, tokens = len(line), line.split()
     marked = sum(len(m) for m in MARKUP.findall(line)) if "<" in line or "&" in line or "{" in line else 0
     if marked > 0.5 * n:
         return "junk"
-    blob = max(map(len, BLOB.findall(line)), default=0)
-    if blob > 0.6 * n and "--" not in line and sum(map(line.count, "|\t;,")) < 2:
-        return "junk"
-    tokens = line.split()
-    if len(tokens) >= 8 and "|" not in line:
-        bare = [b for b in (t.strip(".,;:-") for t in tokens) if b]
+    sizes = list(map(len, tokens))
+    visible = sum(sizes)
+    if max(sizes, default=0) > 0.6 * n:
+        blob = max(map(len, BLOB.findall(line)), default=0)
+        if blob > 0.6 * n and "--" not in line and sum(map(line.count, "|\t;,")) < 2:
+            return "junk"
+    if len(tokens) >= 8 and "|" not in line and visible - sum(map(line.count, STRIPPED)) <= 1.6 * len(tokens):
+        bare = [b for b in (t.strip(STRIPPED) for t in tokens) if b]
         if sum(map(len, bare)) <= 1.6 * len(bare):
             return "junk"
-    signs = [c for c in line if not c.isalnum() and not c.isspace()]
-    if len(signs) > 0.7 * len("".join(tokens)) and len(set(signs) - set("|+-=:_. ")) >= 1 and (len(set(signs)) >= 4 or len(tokens) == 1):
+    signs = SIGN.findall(line) if visible - letters > 0.5 * visible else []
+    if len(signs) > 0.7 * visible and len(set(signs) - set("|+-=:_. ")) >= 1 and (len(set(signs)) >= 4 or len(tokens) == 1):
         return "junk"
-    if RULE.match(line) or line.count("|") >= 2 or line.count("\t") >= 2 or len(GAP.findall(line)) >= 2 or WIDE.search(line) or line.startswith(" " * 10):
+    pipes = line.count("|")
+    if RULE.match(line) or pipes >= 2 or line.count("\t") >= 2 or "   " in line and (len(GAP.findall(line)) >= 2 or WIDE.search(line) or line.startswith(" " * 10)):
         return "table"
     if BULLET.match(line):
         return "list"
-    odd = sum(1 for c in line if c > "\x7f" and not c.isalpha()) + sum(1 for c in line if c in "ÃÂÐâï�")
-    if odd > 0.4 * n:
-        return "junk"
-    if line.count(";") >= 2 and line.count(" ") <= line.count(";") or line.count(",") >= 2 and line.count(" ") < 0.5 * line.count(","):
-        return "table"
-    if line.count(" | ") and PAIR.match(line.split(" | ")[0]):
-        return "table"
-    if PAIR.match(line) and len(tokens) <= 8 and len(tokens) > 1 and not line.endswith(":"):
+    if not line.isascii():
+        high = HIGH.findall(line)
+        if sum(not c.isalpha() for c in high) + sum(map("ÃÂÐâï\ufffd".__contains__, high)) > 0.4 * n:
+            return "junk"
+    if (semi := line.count(";")) >= 2 and line.count(" ") <= semi or (commas := line.count(",")) >= 2 and line.count(" ") < 0.5 * commas:
         return "table"
+    if ":" in line:
+        if pipes and " | " in line and PAIR.match(line.split(" | ")[0]):
+            return "table"
+        if 1 < len(tokens) <= 8 and not line.endswith(":") and PAIR.match(line):
+            return "table"
     return None
 
 
-def shares(text: str, common: frozenset[str]) -> dict[str, float]:
-    """Share of the non-blank characters that stand in list, table and junk lines."""
+def shares(lines: list[tuple[str, list[str]]], common: frozenset[str]) -> dict[str, float]:
+    """Share of the non-blank characters that stand in list, table and junk lines. lines: those that aren't blank, with their words."""
     total, got, open_run = 0, {"list": 0, "table": 0, "junk": 0}, []
 
     def close():
@@ -93,43 +109,48 @@ def shares(text: str, common: frozenset[str]) -> dict[str, float]:
             got["list"] += sum(open_run)
         open_run.clear()
 
-    for line in text.split("\n"):
+    for line, words in lines:
         n = len(line.strip())
-        if not n:
-            continue
         total += n
-        kind = line_kind(line)
+        kind = line_kind(line, sum(map(len, words)))
         if kind is None:
-            words = WORD.findall(line.lower())
             distinct = len(set(words))
-            ends = END.findall(line.rstrip())
+            ended = line.rstrip()
+            ends = END.findall(ended)
             said = [s.strip() for s in END.split(line)] if distinct <= 0.5 * len(words) else []
             again = len(set(said)) <= 0.34 * len(said) if len(said) > 2 else distinct <= 0.15 * len(words)
             if said and again and len(words) >= (60 if len(said) > 2 else 10):
                 kind = "junk"
             elif len(ends) <= 1 + len(words) // 120:
-                items = re.split(r"[,;/·|•]\s|\s[-–/|>→»]\s", line)
-                if len(items) >= 5 and len(words) <= 6 * len(items):
+                items = len(ITEMS.findall(line)) + 1 if sum(map(line.count, SEPARATORS)) >= 4 else 1
+                if items >= 5 and len(words) <= 6 * items:
                     kind = "list"
-                elif len(words) >= 12 and sum(w in common for w in words) <= 0.08 * len(words):
+                elif len(words) >= 12 and sum(map(common.__contains__, words)) <= 0.08 * len(words):
                     kind = "junk"
-        if kind is None and not END.search(line.rstrip()) and not line.rstrip().endswith((":", ",")) and n < 90:
-            open_run.append(n)
-            continue
+            if kind is None and n < 90 and not ended.endswith((":", ",")) and not (ends and END.search(ended)):
+                open_run.append(n)
+                continue
         close()
         if kind:
             got[kind] += n
     close()
     out = {k: v / total if total else 0.0 for k, v in got.items()}
-    whole = [s.strip() for s in re.split(r"[.!?\n]+", text) if s.strip()]
+    whole = [s for s in map(str.strip, SENTENCES.split("\n".join(x for x, _ in lines))) if s]
     if len(whole) >= 5 and len(set(whole)) <= 0.3 * len(whole) and out["table"] < 0.5:
         out = {"list": 0.0, "table": 0.0, "junk": 1.0}
     return out
 
 
-def statistics(text: str, common: frozenset[str]) -> dict[str, float]:
-    words = WORD.findall(text.lower())
-    lines = [x for x in text.split("\n") if x.strip()]
+def lines_of(text: str) -> list[tuple[str, list[str]]]:
+    """The lines that aren't blank, each with its lower-case words."""
+    return [(x, WORD.findall(x.lower())) for x in text.split("\n") if x.strip()]
+
+
+ENDINGS = (".", "!", "?", "…", '."', ".»", ".)", ":")
+
+
+def statistics(text: str, lines: list[tuple[str, list[str]]], common: frozenset[str]) -> dict[str, float]:
+    words = [w for _, ws in lines for w in ws]
     n, visible = len(words), max(1, len(text) - text.count(" ") - text.count("\n"))
     letters = sum(map(len, words))
     digits = sum(map(len, filter(str.isdigit, words)))
@@ -138,7 +159,7 @@ def statistics(text: str, common: frozenset[str]) -> dict[str, float]:
         "mean_word_length": round(letters / n, 3) if n else 0.0,
         "symbol_ratio": round(max(0.0, 1 - letters / visible), 4),
         "digit_ratio": round(digits / visible, 4),
-        "line_end_share": round(sum(x.rstrip().endswith((".", "!", "?", "…", '."', ".»", ".)", ":")) for x in lines) / max(1, len(lines)), 4),
+        "line_end_share": round(sum(x.rstrip().endswith(ENDINGS) for x, _ in lines) / max(1, len(lines)), 4),
         "common_share": round(sum(map(common.__contains__, words)) / n, 4) if n else 0.0,
         "distinct_share": round(len(set(words)) / n, 4) if n else 0.0,
         "sentence_density": round(max(0, len(END.findall(text)) - len(NUMBERED.findall(text))) / n, 4) if n else 0.0,
@@ -198,23 +219,23 @@ def text_statistics(docs: DataFrame, common: frozenset[str]) -> DataFrame:
             for key, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
                 if not text.strip():
                     continue
-                k = shares(text, words)
-                s = statistics(text, words) | {"formed_share": sum(k.values())}
+                lines = lines_of(text)
+                k = shares(lines, words)
+                s = statistics(text, lines, words) | {"formed_share": sum(k.values())}
                 got.append((key, lang, xxhash.xxh64_intdigest(text) - (1 << 63), s["words"], *(float(s[x]) for x, _ in STATISTICS), k["list"], k["table"], k["junk"]))
             yield pd.DataFrame(got, columns=COLUMNS)
 
     return _rows(docs).mapInPandas(run, SCHEMA)
 
 
-def tails(values: DataFrame) -> DataFrame:
+def tails(values: DataFrame, rows: int) -> DataFrame:
     """values with at_or_below, at_or_above and total: exact ranks of each row's value within (lang, stat).
 
-    values: key, lang, stat, value, weight. Rows of weight 1 are counted, those of weight 0 ranked among them. Ties share their
+    values: key, lang, stat, value, weight; rows: about how many. Rows of weight 1 are counted, those of weight 0 ranked among them. Ties share their
     tails, in whichever partitions they lie. What comes to the driver is a row for each partition and each (lang, stat) that
     begins in it: bounded by partitions + languages x statistics.
     """
     spark = values.sparkSession
-    rows = values.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_IN_TASK))
     order = ["lang", "stat", "value"]
     ranged = cut(values.repartitionByRange(parts, *order, F.xxhash64("key").alias("salt")).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
@@ -279,21 +300,23 @@ def quality(docs: DataFrame) -> DataFrame:
     of all texts are no prose, they are no outliers. Null and blank texts have no row. A missing language is a
     language of its own. Repeated doc_ids count once. An empty table gives no rows.
     """
-    stats = cut(text_statistics(docs, common_words(docs)).dropDuplicates(["doc_id"]))
-    first = stats.groupBy("lang", "copy").agg(F.min("doc_id").alias("doc_id"))
-    every = stats.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
+    read = cut(text_statistics(docs, common_words(docs)).dropDuplicates(["doc_id"]))
+    first = read.groupBy("lang", "copy").agg(F.min("doc_id").alias("doc_id"))
+    every = read.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
     weights = first.select("doc_id", F.lit(1).alias("own")).join(every.select("doc_id", F.lit(1).alias("any")), "doc_id", "left")
-    pairs = F.explode(F.array([F.struct(lang.alias("lang"), F.lit(s).alias("stat"), F.col(s).alias("value"), weight.alias("weight")) for s, _ in STATISTICS for lang, weight in ((F.col("lang"), F.coalesce("own", F.lit(0))), (F.lit(ALL), F.coalesce("any", F.lit(0))))])).alias("v")
-    long = stats.join(weights, "doc_id", "left").select(F.col("doc_id").alias("key"), pairs).select("key", "v.lang", "v.stat", "v.value", F.col("v.weight").cast("long").alias("weight"))
+    stats = cut(read.join(weights, "doc_id", "left").drop("copy").fillna(0, ["own", "any"]))
+    pairs = F.explode(F.array([F.struct(F.col(lang).alias("lang"), F.lit(s).alias("stat"), F.col(s).alias("value"), F.col(weight).cast("long").alias("weight")) for s, _ in STATISTICS for lang, weight in (("lang", "own"), ("all", "any"))])).alias("v")
+    long = stats.withColumn("all", F.lit(ALL)).select(F.col("doc_id").alias("key"), pairs).select("key", "v.lang", "v.stat", "v.value", "v.weight")
     low, high = F.col("at_or_below") / F.col("total"), F.col("at_or_above") / F.col("total")
-    sides = {side: [s for s, t in STATISTICS if t == side] for side in ("low", "high", "both")}
-    p = F.when(F.col("stat").isin(sides["low"]), low).when(F.col("stat").isin(sides["high"]), high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
-    each = tails(long).select("key", "stat", p.alias("p"), F.when(F.col("lang") != ALL, F.col("total")).alias("total")).groupBy("key", "stat").agg((-F.log(F.min("p"))).alias("s"), F.max("total").alias("total"))
-    surprise = each.groupBy(F.col("key").alias("doc_id")).agg(F.sum("s").alias("outlier_score"), F.max("s").alias("top_surprise"), F.max_by("stat", "s").alias("top_statistic"), F.max("total").alias("ranked_among"))
+    p = {"low": low, "high": high, "both": F.least(F.lit(1.0), 2 * F.least(low, high))}
+    ranked = tails(long, 2 * len(STATISTICS) * stats.count())
+    least = ranked.groupBy(F.col("key").alias("doc_id")).agg(*[F.min(F.when(F.col("stat") == s, p[side])).alias(s) for s, side in STATISTICS], F.max(F.when(F.col("lang") != ALL, F.col("total"))).alias("ranked_among"))
+    each = [F.struct((-F.log(F.col(s))).alias("s"), F.lit(s).alias("name")) for s, _ in STATISTICS]
+    surprise = least.select("doc_id", "ranked_among", F.array(*each).alias("e")).select("doc_id", F.aggregate("e", F.lit(0.0), lambda a, x: a + x["s"]).alias("outlier_score"), F.array_max("e")["s"].alias("top_surprise"), F.array_max("e")["name"].alias("top_statistic"), "ranked_among")
     most = F.greatest("list_share", "table_share", "junk_share")
     kind = F.when(F.col("junk_share") == most, "junk").when(F.col("table_share") == most, "table").otherwise("list")
     outlier = (F.col("outlier_score") >= OUTLIER) & (F.col("formed_share") > 0.5)
-    return stats.drop("copy").join(surprise, "doc_id").withColumn("verdict", F.when(outlier, kind).otherwise("prose"))
+    return stats.drop("own", "any").join(surprise, "doc_id").withColumn("verdict", F.when(outlier, kind).otherwise("prose"))
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def test_ranks_are_exact(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        got = {g.key: (g.at_or_below, g.at_or_above, g.total) for g in Q.tails(spark.createDataFrame(rows, "key long, lang string, stat string, value double, weight long")).collect()}
+        got = {g.key: (g.at_or_below, g.at_or_above, g.total) for g in Q.tails(spark.createDataFrame(rows, "key long, lang string, stat string, value double, weight long"), len(rows)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(got) == len(rows)
@@ -92,7 +92,7 @@ def test_copies_in_one_language(spark):
 
 
 def test_statistics():
-    s = Q.statistics("One two. Three!\nfour", frozenset(["two"]))
+    s = Q.statistics(text := "One two. Three!\nfour", Q.lines_of(text), frozenset(["two"]))
     assert s["words"] == 4 and s["mean_word_length"] == 3.75 and s["line_end_share"] == 0.5 and s["sentence_density"] == 0.5 and s["common_share"] == 0.25
 
 
