@@ -115,8 +115,7 @@ def shares(lines: list[tuple[str, list[str]]], common: frozenset[str]) -> dict[s
         kind = line_kind(line, sum(map(len, words)))
         if kind is None:
             distinct = len(set(words))
-            ended = line.rstrip()
-            ends = END.findall(ended)
+            ends = END.findall(line)
             said = [s.strip() for s in END.split(line)] if distinct <= 0.5 * len(words) else []
             again = len(set(said)) <= 0.34 * len(said) if len(said) > 2 else distinct <= 0.15 * len(words)
             if said and again and len(words) >= (60 if len(said) > 2 else 10):
@@ -127,7 +126,7 @@ def shares(lines: list[tuple[str, list[str]]], common: frozenset[str]) -> dict[s
                     kind = "list"
                 elif len(words) >= 12 and sum(map(common.__contains__, words)) <= 0.08 * len(words):
                     kind = "junk"
-            if kind is None and n < 90 and not ended.endswith((":", ",")) and not (ends and END.search(ended)):
+            if kind is None and not ends and n < 90 and not line.rstrip().endswith((":", ",")):
                 open_run.append(n)
                 continue
         close()
@@ -231,7 +230,7 @@ def text_statistics(docs: DataFrame, common: frozenset[str]) -> DataFrame:
 def tails(values: DataFrame, rows: int) -> DataFrame:
     """values with at_or_below, at_or_above and total: exact ranks of each row's value within (lang, stat).
 
-    values: key, lang, stat, value, weight; rows: about how many. Rows of weight 1 are counted, those of weight 0 ranked among them. Ties share their
+    values: key, lang (a hash of the language), stat (its number), value, weight; rows: about how many. Rows of weight 1 are counted, those of weight 0 ranked among them. Ties share their
     tails, in whichever partitions they lie. What comes to the driver is a row for each partition and each (lang, stat) that
     begins in it: bounded by partitions + languages x statistics.
     """
@@ -244,20 +243,23 @@ def tails(values: DataFrame, rows: int) -> DataFrame:
         frames = list(frames)  # one range of about ROWS_IN_TASK rows
         return pd.concat(frames, ignore_index=True) if frames else None
 
+    def groups(pdf: pd.DataFrame):
+        """Runs of equal (lang, stat) in one sorted range."""
+        lang, stat = pdf["lang"].to_numpy(), pdf["stat"].to_numpy()
+        at = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (stat[1:] != stat[:-1])])
+        for a, b in zip(at, np.r_[at[1:], len(pdf)]):
+            yield int(lang[a]), int(stat[a]), pdf["key"].to_numpy()[a:b], pdf["value"].to_numpy()[a:b], pdf["weight"].to_numpy()[a:b]
+
     def summed(frames):
         pdf = whole(frames)
-        if pdf is None or pdf.empty:
-            return
-        g = pdf.groupby(["part", "lang", "stat"], sort=True)
-        out = g.agg(n=("weight", "sum"), first=("value", "first"), last=("value", "last")).reset_index()
-        ends = pdf.merge(out, on=["part", "lang", "stat"])
-        for end in ("first", "last"):
-            out[f"{end}_n"] = ends["weight"].where(ends["value"] == ends[end], 0).groupby([ends["part"], ends["lang"], ends["stat"]]).sum().to_numpy()
-        yield out
-
-    got = ranged.mapInPandas(summed, "part int, lang string, stat string, n long, first double, last double, first_n long, last_n long").toPandas()
+        if pdf is not None and len(pdf):
+            part = int(pdf["part"].iloc[0])
+            got = [(part, lang, stat, w.sum(), v[0], v[-1], w[v == v[0]].sum(), w[v == v[-1]].sum()) for lang, stat, _, v, w in groups(pdf)]
+            yield pd.DataFrame(got, columns=["part", "lang", "stat", "n", "first", "last", "first_n", "last_n"])
+
+    got = ranged.mapInPandas(summed, "part int, lang long, stat int, n long, first double, last double, first_n long, last_n long").toPandas()
     got = got.sort_values(["lang", "stat", "part"], ignore_index=True)
-    known: dict[tuple[int, str, str], tuple[int, int, int, int]] = {}
+    known: dict[tuple[int, int, int], tuple[int, int, int, int]] = {}
     for (lang, stat), g in got.groupby(["lang", "stat"]):
         n, total = g["n"].to_numpy(), int(g["n"].sum())
         before = np.cumsum(n) - n
@@ -271,23 +273,23 @@ def tails(values: DataFrame, rows: int) -> DataFrame:
             if first[k + 1] == last[k]:
                 later[k] = first_n[k + 1] + (later[k + 1] if first[k + 1] == last[k + 1] else 0)
         for k, part in enumerate(g["part"]):
-            known[int(part), lang, stat] = (int(before[k]), int(earlier[k]), int(later[k]), total)
+            known[int(part), int(lang), int(stat)] = (int(before[k]), int(earlier[k]), int(later[k]), total)
     held = spark.sparkContext.broadcast(known)
 
     def ranked(frames):
         pdf = whole(frames)
-        if pdf is None or pdf.empty:
+        if pdf is None or not len(pdf):
             return
-        for (part, lang, stat), g in pdf.groupby(["part", "lang", "stat"], sort=False):
-            before, earlier, later, total = held.value[int(part), lang, stat]
-            value, weight = g["value"].to_numpy(), g["weight"].to_numpy()
+        part = int(pdf["part"].iloc[0])
+        for lang, stat, key, value, weight in groups(pdf):
+            before, earlier, later, total = held.value[part, lang, stat]
             upto = np.concatenate([[0], np.cumsum(weight)])
             low, high = np.searchsorted(value, value, "left"), np.searchsorted(value, value, "right")
             below = before + upto[high] + np.where(value == value[-1], later, 0)
             above = total - before - upto[low] + np.where(value == value[0], earlier, 0)
-            yield pd.DataFrame({"key": g["key"], "lang": lang, "stat": stat, "value": value, "at_or_below": below, "at_or_above": above, "total": total})
+            yield pd.DataFrame({"key": key, "lang": lang, "stat": np.int32(stat), "value": value, "at_or_below": below, "at_or_above": above, "total": total})
 
-    return ranged.mapInPandas(ranked, "key long, lang string, stat string, value double, at_or_below long, at_or_above long, total long")
+    return ranged.mapInPandas(ranked, "key long, lang long, stat int, value double, at_or_below long, at_or_above long, total long")
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -305,12 +307,13 @@ def quality(docs: DataFrame) -> DataFrame:
     every = read.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
     weights = first.select("doc_id", F.lit(1).alias("own")).join(every.select("doc_id", F.lit(1).alias("any")), "doc_id", "left")
     stats = cut(read.join(weights, "doc_id", "left").drop("copy").fillna(0, ["own", "any"]))
-    pairs = F.explode(F.array([F.struct(F.col(lang).alias("lang"), F.lit(s).alias("stat"), F.col(s).alias("value"), F.col(weight).cast("long").alias("weight")) for s, _ in STATISTICS for lang, weight in (("lang", "own"), ("all", "any"))])).alias("v")
-    long = stats.withColumn("all", F.lit(ALL)).select(F.col("doc_id").alias("key"), pairs).select("key", "v.lang", "v.stat", "v.value", "v.weight")
+    pairs = F.explode(F.array([F.struct(F.col(lang).alias("lang"), F.lit(k).alias("stat"), F.col(s).alias("value"), F.col(weight).cast("long").alias("weight")) for k, (s, _) in enumerate(STATISTICS) for lang, weight in (("within", "own"), ("all", "any"))])).alias("v")
+    pooled = F.xxhash64(F.lit(ALL))
+    long = stats.withColumn("within", F.xxhash64("lang")).withColumn("all", pooled).select(F.col("doc_id").alias("key"), pairs).select("key", "v.lang", "v.stat", "v.value", "v.weight")
     low, high = F.col("at_or_below") / F.col("total"), F.col("at_or_above") / F.col("total")
     p = {"low": low, "high": high, "both": F.least(F.lit(1.0), 2 * F.least(low, high))}
     ranked = tails(long, 2 * len(STATISTICS) * stats.count())
-    least = ranked.groupBy(F.col("key").alias("doc_id")).agg(*[F.min(F.when(F.col("stat") == s, p[side])).alias(s) for s, side in STATISTICS], F.max(F.when(F.col("lang") != ALL, F.col("total"))).alias("ranked_among"))
+    least = ranked.groupBy(F.col("key").alias("doc_id")).agg(*[F.min(F.when(F.col("stat") == k, p[side])).alias(s) for k, (s, side) in enumerate(STATISTICS)], F.max(F.when(F.col("lang") != pooled, F.col("total"))).alias("ranked_among"))
     each = [F.struct((-F.log(F.col(s))).alias("s"), F.lit(s).alias("name")) for s, _ in STATISTICS]
     surprise = least.select("doc_id", "ranked_among", F.array(*each).alias("e")).select("doc_id", F.aggregate("e", F.lit(0.0), lambda a, x: a + x["s"]).alias("outlier_score"), F.array_max("e")["s"].alias("top_surprise"), F.array_max("e")["name"].alias("top_statistic"), "ranked_among")
     most = F.greatest("list_share", "table_share", "junk_share")
