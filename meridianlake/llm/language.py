@@ -1,6 +1,7 @@
 """Language of each stretch of text, by error-correcting output codes over character n-grams.
 
-Every language is a codeword of an exhaustive code. One binary classifier per bit (naive Bayes over character n-grams of
+The languages are those that the labels name. Every language is a codeword of an exhaustive code (a random one for more than
+EXHAUSTIVE languages). One binary classifier per bit (naive Bayes over character n-grams of
 words) tells the languages with a 1 from those with a 0. A sentence gets the codeword of the least weighted logistic
 loss; sentences whose two best codewords are close are flagged ambiguous and lean on their neighbours.
 
@@ -16,12 +17,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, parse_json, sentence_spans
 
+#: Languages that are assumed where the labels name fewer than two.
 LANGUAGES = ("en", "it", "de", "fr", "es")
+#: Labelled rows of the sample that a language needs, and languages up to which the code is exhaustive.
+LEAST_ROWS, EXHAUSTIVE = 5, 7
 
 # Names and three-letter codes of the languages.
 NAMES = {
@@ -52,12 +56,20 @@ def label_of(metadata: str | None) -> str | None:
     for value in (obj.get("language"), obj.get("lang"), doc.get("language") if isinstance(doc, dict) else None, obj.get("doc.language")):
         if isinstance(value, str) and value.strip():
             name = value.strip().lower()
-            return BY_NAME.get(name) or BY_NAME.get(re.split(r"[-_\s(]", name)[0])
+            code = re.split(r"[-_\s(]", name)[0]
+            # Other two-letter codes may name a language too: the texts tell.
+            return BY_NAME.get(name) or BY_NAME.get(code) or (code if re.fullmatch(r"[a-z]{2}", code) else None)
     return None
 
 
 def codewords(n: int) -> np.ndarray:
-    """The exhaustive code: one column for each split of n classes into two, as +1 and -1."""
+    """The code of n classes, +1 and -1: one column for each split into two, or, for many classes, the best of some random codes."""
+    if n > EXHAUSTIVE:
+        rng, bits = np.random.default_rng(n), 10 * int(np.ceil(np.log2(n)))
+        drawn = [np.where(rng.random((n, bits)) < 0.5, 1, -1) for _ in range(50)]
+        apart = lambda c: min((c[i] != c[j]).sum() for i in range(n) for j in range(i))
+        split = [c[:, np.abs(c.sum(0)) < n] for c in drawn]  # a bit without two sides tells nothing
+        return max(split, key=apart).astype(np.float32)
     rest = range(1, n)
     ones = [(0, *more) for size in range(n - 1) for more in combinations(rest, size)]
     code = -np.ones((n, len(ones)), dtype=np.float32)
@@ -74,13 +86,13 @@ def ngrams(word: str) -> list[str]:
 class Model:
     """n-gram weights for each bit, and the weight of each bit by how well it separates the sample."""
 
-    def __init__(self, grams: dict[str, int], weights: np.ndarray, code: np.ndarray, bits: np.ndarray, temperature: float):
-        self.grams, self.weights, self.code, self.bits, self.temperature = grams, weights, code, bits, temperature
+    def __init__(self, languages: tuple[str, ...], grams: dict[str, int], weights: np.ndarray, code: np.ndarray, bits: np.ndarray, temperature: float):
+        self.languages, self.grams, self.weights, self.code, self.bits, self.temperature = languages, grams, weights, code, bits, temperature
         self.words: dict[str, int] = {}
         self.table = np.zeros((1024, code.shape[1]), dtype=np.float32)
 
     def __getstate__(self):
-        return (self.grams, self.weights, self.code, self.bits, self.temperature)
+        return (self.languages, self.grams, self.weights, self.code, self.bits, self.temperature)
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -116,10 +128,35 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[str], temperature: float = 6.0, rounds: int = 2) -> Model:
-    """Bit classifiers from labelled texts; texts whose decoded language differs from the label leave after each round."""
-    code = codewords(len(LANGUAGES))
+    """Bit classifiers from labelled texts, for the languages that are labelled LEAST_ROWS times.
+
+    A label most of whose texts are decoded as others names no language and leaves first; then, after each round, texts whose
+    decoded language differs from the label.
+    """
+    named = Counter(labels)
+    languages = sorted((k for k, n in named.items() if n >= LEAST_ROWS), key=lambda k: (-named[k], k))
     words = [running_words(t) for t in texts]
-    keep = list(range(len(texts)))
+    while len(languages) > 2:
+        model = _fit(words, labels, tuple(languages), temperature, 0)
+        best = _decoded(model, words)
+        right = Counter(x for x, y in zip(labels, best) if x == y)
+        wrong = [k for k in languages if 2 * right[k] < named[k]]
+        if not wrong:
+            break
+        languages.remove(min(wrong, key=lambda k: (right[k] / named[k], k)))
+    if len(languages) < 2:
+        languages += [k for k in LANGUAGES if k not in languages]
+    return _fit(words, labels, tuple(languages), temperature, rounds)
+
+
+def _decoded(model: Model, words: list[list[str]]) -> list[str]:
+    best = model.losses([len(w) for w in words], [w for ws in words for w in ws]).argmin(1)
+    return [model.languages[k] for k in best]
+
+
+def _fit(words: list[list[str]], labels: list[str], languages: tuple[str, ...], temperature: float, rounds: int) -> Model:
+    code = codewords(len(languages))
+    keep = [i for i, label in enumerate(labels) if label in languages]
     for step in range(rounds + 1):
         # In the first round half of the code's mass comes from wrong labels at most; smoothing keeps their n-grams weak.
         by_lang: dict[str, Counter] = defaultdict(Counter)
@@ -127,30 +164,29 @@ def fit(texts: list[str], labels: list[str], temperature: float = 6.0, rounds: i
             by_lang[labels[i]].update(words[i])
         grams: dict[str, int] = {}
         counts: list[np.ndarray] = []
-        for k, lang in enumerate(LANGUAGES):
+        for k, lang in enumerate(languages):
             for word, n in by_lang[lang].items():
                 for g in ngrams(word):
                     at = grams.setdefault(g, len(grams))
                     if at == len(counts):
-                        counts.append(np.zeros(len(LANGUAGES), dtype=np.float32))
+                        counts.append(np.zeros(len(languages), dtype=np.float32))
                     counts[at][k] += n
-        table = np.stack(counts) if counts else np.zeros((0, len(LANGUAGES)), dtype=np.float32)
+        table = np.stack(counts) if counts else np.zeros((0, len(languages)), dtype=np.float32)
         rate = (table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * max(1, len(grams)))
         weights = np.zeros((len(grams), code.shape[1]), dtype=np.float32)
         for bit in range(code.shape[1]):
             weights[:, bit] = np.log(rate[:, code[:, bit] > 0].mean(1) / rate[:, code[:, bit] < 0].mean(1))
-        model = Model(grams, np.clip(weights, -4, 4), code, np.ones(code.shape[1], dtype=np.float32) / code.shape[1], temperature)
-        if not texts:
+        model = Model(languages, grams, np.clip(weights, -4, 4), code, np.ones(code.shape[1], dtype=np.float32) / code.shape[1], temperature)
+        if not words:
             return model
-        best = model.losses([len(w) for w in words], [w for ws in words for w in ws]).argmin(1)
-        good = [i for i in range(len(texts)) if LANGUAGES[best[i]] == labels[i]]
+        good = [i for i, lang in enumerate(_decoded(model, words)) if lang == labels[i]]
         if step == rounds:
             # A bit counts by the share of the sample that it tells apart rightly.
             sums = np.zeros((len(good), code.shape[1]), dtype=np.float32)
             for row, i in enumerate(good):
                 if words[i]:
                     sums[row] = model.table_rows(words[i]).sum(0)
-            truth = np.stack([code[LANGUAGES.index(labels[i])] for i in good]) if good else np.zeros((0, code.shape[1]))
+            truth = np.stack([code[languages.index(labels[i])] for i in good]) if good else np.zeros((0, code.shape[1]))
             right = ((sums * truth) > 0).mean(0) if good else np.ones(code.shape[1])
             model.bits = (np.maximum(right, 0.5) / np.maximum(right, 0.5).sum()).astype(np.float32) * code.shape[1] / 2
             return model
@@ -211,27 +247,27 @@ def segment(model: Model, texts: list[str | None], switch: float = 6.0, least_ga
                 p = np.exp(-(total - total.min()))
                 conf = float(p[langs[start]] / p.sum())
                 near = float(np.sort(total)[1] - total.min())
-                stretches.append((LANGUAGES[langs[start]], conf, bool(near < sure), spans[start][0], spans[i - 1][1]))
+                stretches.append((model.languages[langs[start]], conf, bool(near < sure), spans[start][0], spans[i - 1][1]))
                 start = i
         out.append(stretches)
     return out
 
 
-SEGMENTS = "id string, seg long, lang string, confidence double, ambiguous boolean, start long, stop long, label string, is_case boolean"
+SEGMENTS = "id string, version long, seg long, lang string, confidence double, ambiguous boolean, start long, stop long, label string, is_case boolean"
 
 
 def detect_languages(chunks: DataFrame, sample_rows: int = 3000) -> DataFrame:
     """One row per stretch of one language in each chunk, in reading order.
 
     `is_case` marks chunks whose label is missing, unreadable, names no language, or isn't the one language of the content.
-    Null, empty, blank and code-only contents have no stretch. Rows delivered twice count once. Ties between codewords go to
-    the earlier language of LANGUAGES. Other columns are ignored. Without labelled rows nothing can be fitted and no stretch
-    comes out with a confidence above chance; an empty table gives an empty result.
+    Null, empty, blank and code-only contents have no stretch. An id delivered twice counts once, with one of its contents if
+    they differ. Ties between codewords go to the language with more labels. Other columns are ignored. Without labelled rows
+    nothing can be fitted and no stretch comes out with a confidence above chance; an empty table gives an empty result.
     """
-    rows = chunks.select(F.col("id").cast("string").alias("id"), F.col("metadata").cast("string").alias("metadata"), F.col("content").cast("string").alias("content"))
+    rows = chunks.select(F.col("id").cast("string").alias("id"), F.col("metadata").cast("string").alias("metadata"), F.col("content").cast("string").alias("content")).withColumn("version", F.xxhash64("metadata", "content"))
     named = F.lower(F.trim(F.coalesce(F.try_variant_get(v := F.try_parse_json("metadata"), "$.language", "string"), F.try_variant_get(v, "$.lang", "string"), F.try_variant_get(v, "$.doc.language", "string"))))
     labelled = rows.where(F.col("content").isNotNull() & F.col("metadata").rlike('"(language|lang)"') & named.isNotNull())
-    sample = bounded_sample(labelled, "id", sample_rows, chunks.count()).select("metadata", "content").toPandas()
+    sample = bounded_sample(labelled, "id", sample_rows, labelled.count()).select("metadata", "content").toPandas()
     labels = sample["metadata"].map(label_of)
     good = labels.notna()
     model = fit(sample["content"][good].tolist(), labels[good].tolist())
@@ -241,11 +277,14 @@ def detect_languages(chunks: DataFrame, sample_rows: int = 3000) -> DataFrame:
         held = shared.value
         for pdf in frames:
             got = []
-            for key, metadata, stretches in zip(pdf["id"], pdf["metadata"], segment(held, [c if isinstance(c, str) else None for c in pdf["content"]])):
+            for key, version, metadata, stretches in zip(pdf["id"], pdf["version"], pdf["metadata"], segment(held, [c if isinstance(c, str) else None for c in pdf["content"]])):
                 if stretches:
                     label = label_of(metadata)
+                    label = label if label in held.languages else None
                     case = len(stretches) > 1 or label != stretches[0][0]
-                    got += [(key, k + 1, lang, conf, amb, a, b, label, case) for k, (lang, conf, amb, a, b) in enumerate(stretches)]
-            yield pd.DataFrame(got, columns=["id", "seg", "lang", "confidence", "ambiguous", "start", "stop", "label", "is_case"])
+                    got += [(key, version, k + 1, lang, conf, amb, a, b, label, case) for k, (lang, conf, amb, a, b) in enumerate(stretches)]
+            yield pd.DataFrame(got, columns=["id", "version", "seg", "lang", "confidence", "ambiguous", "start", "stop", "label", "is_case"])
 
-    return rows.mapInPandas(run, SEGMENTS).dropDuplicates(["id", "seg"])
+    found = rows.mapInPandas(run, SEGMENTS)
+    one = found.withColumn("first", F.min("version").over(Window.partitionBy("id"))).where("version = first")
+    return one.dropDuplicates(["id", "seg"]).drop("version", "first")

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 
 from meridianlake.llm import language as L
@@ -68,3 +69,32 @@ def test_code():
 @pytest.mark.parametrize("metadata, want", [('{"language":"en_US"}', "en"), ('{"lang":" Deutsch "}', "de"), ('{"doc":{"language":"español"}}', "es"), ('{"language":"und"}', None), ('{"language":""}', None), ("{", None), (None, None), ("[1]", None)])
 def test_label(metadata, want):
     assert L.label_of(metadata) == want
+
+
+def test_languages_are_those_of_the_labels(spark):
+    """A language beyond the usual five is learned from its labels; a label on texts of all languages names none."""
+    words = "pakken kommer klokken fire på lageret hver mandag og ingen har underskrevet følgeseddelen endnu fordi kontoret er lukket".split()
+    danish = [" ".join(words[k % 7 :] + words[: k % 7]) + "." for k in range(12)]
+    out = rows() + [(f"da{k}", json.dumps({"language": "da"}), t, None) for k, t in enumerate(danish)] + [("unlabelled", None, danish[3], None)]
+    out += [(f"xx{k}", json.dumps({"language": "xx"}), " ".join(SENTENCES[lang]), None) for k, lang in enumerate(list(SENTENCES) * 2)]
+    got = {(r.id, r.seg): r for r in L.detect_languages(spark.createDataFrame(out, COLUMNS)).collect()}
+    assert got["unlabelled", 1].lang == "da" and got["unlabelled", 1].is_case and not got["da1", 1].is_case
+    assert all(got[f"xx{k}", 1].lang == lang and got[f"xx{k}", 1].is_case and got[f"xx{k}", 1].label is None for k, lang in enumerate(list(SENTENCES) * 2))
+
+
+def test_many_languages_have_codewords_far_apart():
+    code = L.codewords(12)
+    assert set(np.unique(code)) == {-1, 1} and min((code[a] != code[b]).sum() for a in range(12) for b in range(a)) >= 10
+
+
+def test_rare_labels_fill_the_sample(spark):
+    """The share of hashes is that of the labelled rows, not of all."""
+    out = rows() + [(f"plain{k}", None, SENTENCES["en"][k % 3], None) for k in range(3000)]
+    got = L.detect_languages(spark.createDataFrame(out, COLUMNS), sample_rows=60)
+    assert {r.lang for r in got.where("id like 'plain%'").select("lang").distinct().collect()} == {"en"}
+
+
+def test_an_id_with_two_contents_is_one_of_them(spark):
+    out = rows() + [("twice", None, " ".join(SENTENCES["fr"]), None), ("twice", None, SENTENCES["en"][0] + " " + SENTENCES["de"][1], None)]
+    got = {r.seg: r.lang for r in L.detect_languages(spark.createDataFrame(out, COLUMNS)).where("id = 'twice'").collect()}
+    assert got in ({1: "fr"}, {1: "en", 2: "de"})
