@@ -1,15 +1,16 @@
 """Evaluation texts inside training documents, by one Aho-Corasick automaton over normalised questions and answers.
 
-The automaton holds every run of `anchor` words of each passage and every whole question. A document is scanned once; each
-hit is extended along the passage word by word, allowing changed, dropped and added words, and counts as a leak where at
-least `least_words` words of the passage in a row stand with at most one error in `one_in` words. Positions refer to the
-original text.
+The automaton holds every run of `anchor` words of each passage, shorter passages and questions as a whole. A document is
+scanned once; each hit of a run is extended along the passage word by word, allowing changed, dropped and added words, and
+counts as a leak where at least `least_words` words of the passage in a row stand with at most one error in `one_in` words. A
+passage of fewer words, or a question, leaks where it stands entire. Positions refer to the original text.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 
 import pandas as pd
@@ -17,24 +18,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
+HANGUL = re.compile("[\u1160-\u11ff]")  # vowels and finals, which compose though they don't combine
 MARKUP = re.compile(r"<[^<>]{0,400}>|&#?\w{1,8};")
-ITEMS_IN_BLOCK = 20_000
-
-LEAKS = "doc_id long, item_id long, matched_words long, errors long, start long, stop long"
-
-
-def words_of(text: str) -> tuple[list[str], list[int]]:
-    """Lower-case words without markup, and the offset of each in the text."""
+#: Words of items in one automaton, some 100 MB; more items are shared out over several, each of which scans the documents.
+WORDS_IN_AUTOMATON = 1_000_000
+
+LEAKS = "doc_id long, item_id long, kind string, matched_words long, errors long, start long, stop long"
+
+
+def composed(text: str) -> tuple[str, list[int] | None]:
+    """The text with letters and their accents composed, and, where that changes it, the offset of each character in the original."""
+    if text.isascii() or unicodedata.is_normalized("NFC", text):
+        return text, None
+    out, at, k = [], [], 0
+    while k < len(text):
+        end = k + 1
+        while end < len(text) and (unicodedata.combining(text[end]) or HANGUL.match(text[end])):
+            end += 1
+        made = unicodedata.normalize("NFC", text[k:end])
+        out.append(made)
+        at += [k] * len(made)
+        k = end
+    return "".join(out), at
+
+
+def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Lower-case words without markup, and where each begins and ends in the text."""
     plain = MARKUP.sub(lambda m: " " * len(m[0]), text) if "<" in text or "&" in text else text
-    found = [(m[0].lower(), m.start()) for m in WORD.finditer(plain)]
-    return [w for w, _ in found], [a for _, a in found]
+    plain, at = composed(plain)
+    found = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(plain)]
+    if at is not None:
+        at.append(len(text))
+        found = [(w, at[a], at[b]) for w, a, b in found]
+    return [w for w, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found]
 
 
 def normal(text: str) -> list[str]:
     plain = MARKUP.sub(" ", text) if "<" in text or "&" in text else text
-    if not plain.isascii() and not unicodedata.is_normalized("NFC", plain):
-        plain = unicodedata.normalize("NFC", plain)
-    return WORD.findall(plain.lower())
+    return WORD.findall(composed(plain)[0].lower())
+
+
+#: In place of an offset: the whole question, the whole of a passage that is too short to be searched in runs.
+QUESTION, SHORT = -1, -2
+KINDS = {QUESTION: "question", SHORT: "short passage", 0: "passage"}
 
 
 class Matcher:
@@ -53,10 +79,11 @@ class Matcher:
         for i, words in self.passages.items():
             for k in range(len(words) - anchor + 1):
                 places[f" {' '.join(words[k : k + anchor])} "].append((i, k))
+            if 0 < len(words) < least_words:
+                places[f" {' '.join(words)} "].append((i, SHORT))
         for i, q, _ in items:
-            words = normal(q or "")
-            if len(words) >= anchor:
-                places[f" {' '.join(words)} "].append((i, -1))
+            if words := normal(q or ""):
+                places[f" {' '.join(words)} "].append((i, QUESTION))
         self.auto = ahocorasick.Automaton()
         for key, at in places.items():
             self.auto.add_word(key, (len(key), at))
@@ -146,13 +173,13 @@ class Matcher:
                     found = (n, bad, path[a][0], path[b][0])
         return found
 
-    def leaks(self, text: str) -> dict[int, tuple[int, int, int, int]]:
-        """item -> (words, errors, first and last index of the document's words)"""
+    def leaks(self, text: str) -> dict[tuple[int, str], tuple[int, int, int, int]]:
+        """(item, kind) -> (words, errors, first and last index of the document's words)"""
         words = normal(text)
-        if self.empty or len(words) < self.anchor:
+        if self.empty or not words:
             return {}
         line = f" {' '.join(words)} "
-        got: dict[int, tuple[int, int, int, int]] = {}
+        got: dict[tuple[int, str], tuple[int, int, int, int]] = {}
         seen: set[tuple[int, int, int]] = set()
         at_char, at_word = 0, 0
         for end, (size, places) in self.auto.iter(line):
@@ -161,6 +188,7 @@ class Matcher:
             at_char = start
             for item, k in places:
                 if k < 0:
+                    got.setdefault((item, KINDS[k]), (n := line.count(" ", start, end), 0, at_word, at_word + n - 1))
                     continue
                 # Only what a path has covered is known; behind its end the same diagonal may go on.
                 if (item, at_word, k) in seen:
@@ -183,8 +211,8 @@ class Matcher:
                     if ok:
                         seen.add((item, d, p))
                 match = self.best(left[::-1] + right)
-                if match and (item not in got or match[0] > got[item][0]):
-                    got[item] = match
+                if match and ((item, KINDS[0]) not in got or match[0] > got[item, KINDS[0]][0]):
+                    got[item, KINDS[0]] = match
         return got
 
 
@@ -192,44 +220,40 @@ _BUILT: dict[object, Matcher] = {}
 
 
 def leaks(docs: DataFrame, items: DataFrame, anchor: int = 6, least_words: int = 20, one_in: int = 8) -> DataFrame:
-    """One row per (document, item) whose passage stands in the document, with the longest stretch.
+    """One row per (document, item, kind) with the longest stretch. Kinds: passage, short passage (entire) and question (entire).
 
-    Items are taken in blocks of at most ITEMS_IN_BLOCK, one automaton each, so what is sent to the executors is bounded for
-    any number of items. Null and empty texts and passages match nothing; passages shorter than `least_words` can't leak;
-    repeated documents and items count once; ties go to the first stretch. Either table may be empty.
+    One automaton holds all items; only where they have more than WORDS_IN_AUTOMATON words are they shared out by a hash, so that
+    what is sent to the executors stays bounded. Stock questions leak like any: what of them counts is for the caller to say.
+    Null and empty texts, passages and questions match nothing; repeated documents and items count once; ties go to the first
+    stretch. Either table may be empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     held = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("query").cast("string").alias("query"), F.col("passage").cast("string").alias("passage")).where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
-    out, after = None, None
-    while True:
-        block = (held if after is None else held.where(F.col("item_id") > after)).orderBy("item_id").limit(ITEMS_IN_BLOCK).collect()
-        if not block and out is not None:
-            break
-        found = rows.mapInPandas(_scanner([tuple(r) for r in block], anchor, least_words, one_in), LEAKS)
+    words = held.agg(F.sum(F.coalesce(F.size(F.split("query", r"\s+")), F.lit(0)) + F.coalesce(F.size(F.split("passage", r"\s+")), F.lit(0))).alias("n")).first()["n"] or 0
+    shares = max(1, -(-words // WORDS_IN_AUTOMATON))
+    out = None
+    for share in range(shares):
+        block = held.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == share).collect()  # about WORDS_IN_AUTOMATON words
+        found = rows.mapInPandas(_scanner(rows.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in block)), anchor, least_words, one_in), LEAKS)
         out = found if out is None else out.unionByName(found)
-        if len(block) < ITEMS_IN_BLOCK:
-            break
-        after = block[-1]["item_id"]
-    return out.dropDuplicates(["doc_id", "item_id"])
+    return out.dropDuplicates(["doc_id", "item_id", "kind"])
 
 
-def _scanner(block: list, anchor: int, least_words: int, one_in: int):
-    key = (hash(tuple(block)), anchor, least_words, one_in)
+def _scanner(held, anchor: int, least_words: int, one_in: int):
+    key = (str(uuid.uuid4()), anchor, least_words, one_in)
 
     def run(frames):
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = Matcher(block, anchor, least_words, one_in)
+            _BUILT[key] = Matcher(held.value, anchor, least_words, one_in)
         matcher = _BUILT[key]
         for pdf in frames:
             got = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 found = matcher.leaks(text)
                 if found:
-                    words, starts = words_of(text)
-                    for item, (n, bad, a, b) in found.items():
-                        inside = b < len(starts)
-                        got.append((doc_id, item, n, bad, starts[a] if inside else 0, starts[b] + len(words[b]) if inside else len(text)))
-            yield pd.DataFrame(got, columns=["doc_id", "item_id", "matched_words", "errors", "start", "stop"])
+                    _, starts, stops = words_of(text)
+                    got += [(doc_id, item, kind, n, bad, starts[a], stops[b]) for (item, kind), (n, bad, a, b) in found.items()]
+            yield pd.DataFrame(got, columns=["doc_id", "item_id", "kind", "matched_words", "errors", "start", "stop"])
 
     return run

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that cuts text before byte-pair merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -136,6 +138,10 @@ def pack_documents(docs: DataFrame, windows: DataFrame, shard_rows: int = 2000,
     if len(capacities) > MOST_WINDOWS:
         raise ValueError(f"more than {MOST_WINDOWS} windows: pack them in several calls")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
+    # Ids alone are shuffled to find the repeated ones; texts only where there are any.
+    again = cut(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.limit(1).count():
+        rows = rows.join(again, "doc_id", "left_anti").unionByName(rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     shards = max(1, math.ceil(rows.count() / shard_rows))
     spread = rows.repartitionByRange(shards, "lang", "source", "doc_id").drop("lang", "source")
 
@@ -144,13 +150,11 @@ def pack_documents(docs: DataFrame, windows: DataFrame, shard_rows: int = 2000,
 
         shard = TaskContext.get().partitionId()
         enc = encoder(tokenizer)
-        ids, tokens, seen = [], [], set()
+        ids, tokens = [], []
         for pdf in frames:
             for d, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
-                if d not in seen:
-                    seen.add(d)
-                    ids.append(d)
-                    tokens.append(np.asarray(enc.encode_ordinary(text), dtype=np.int32))
+                ids.append(d)
+                tokens.append(np.asarray(enc.encode_ordinary(text), dtype=np.int32))
         order = sorted(range(len(ids)), key=ids.__getitem__)
         ids, tokens = [ids[k] for k in order], [tokens[k] for k in order]
         index = Index(tokens)

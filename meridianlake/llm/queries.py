@@ -60,7 +60,7 @@ def p6_used_space(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).where("kind = 'passage'").select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -9,10 +9,10 @@ PASSAGE = " ".join(f"{R.choice('abcdefghij')}{R.randint(10, 99)}x" for _ in rang
 WORDS = PASSAGE.split()
 
 
-def found(spark, texts, **more):
+def found(spark, texts, kind="passage", **more):
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(7, "what is said here about it?", PASSAGE), (7, "what is said here about it?", PASSAGE), (8, None, None), (9, "", "short passage of few words"), (None, "x", PASSAGE)], "item_id long, query string, passage string")
-    return {(r.doc_id, r.item_id): r for r in L.leaks(docs, items, **more).collect()}
+    return {(r.doc_id, r.item_id): r for r in L.leaks(docs, items, **more).where(f"kind = '{kind}'").collect()}
 
 
 def test_whole_part_and_changed(spark):
@@ -38,7 +38,7 @@ def test_too_many_errors(spark):
 
 
 def test_long_text_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEMS_IN_BLOCK", 1)
+    monkeypatch.setattr(L, "WORDS_IN_AUTOMATON", 30)
     text = "filler words go here and on " * 20000 + " ".join(WORDS[3:33])
     assert set(found(spark, [text, text])) == {(0, 7), (1, 7)}
 
@@ -64,3 +64,29 @@ def test_empty(spark, docs, items):
     d = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string").limit(docs)
     i = spark.createDataFrame([(1, "q", PASSAGE)], "item_id long, query string, passage string").limit(items)
     assert L.leaks(d, i).count() == 0
+
+
+def test_whole_questions_and_short_passages(spark):
+    texts = ["He asked: WHAT is said, here about it? Nobody knew.", "what is said here about them", "a <b>short</b> passage of few words.", "a short passage of words", PASSAGE]
+    assert {k: (r.matched_words, r.start, r.stop) for k, r in found(spark, texts, "question").items()} == {(0, 7): (6, 10, 38)}
+    assert {k: r.matched_words for k, r in found(spark, texts, "short passage").items()} == {(2, 9): 5}
+    assert set(found(spark, texts)) == {(4, 7)}
+
+
+def test_offsets_in_decomposed_text(spark):
+    import unicodedata
+
+    words = [w + "é" for w in WORDS[:30]]
+    text = unicodedata.normalize("NFD", "Là où l'été, " + " ".join(words) + " été après")
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, None, " ".join(words))], "item_id long, query string, passage string")
+    (r,) = L.leaks(docs, items).collect()
+    assert r.matched_words == 30 and unicodedata.normalize("NFC", text[r.start : r.stop]) == " ".join(words)
+
+
+def test_items_in_several_automata_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(WORDS[k : k + 30])) for k in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, None, " ".join(WORDS[k : k + 35])) for k in range(20)], "item_id long, query string, passage string")
+    once = {tuple(r) for r in L.leaks(docs, items).collect()}
+    monkeypatch.setattr(L, "WORDS_IN_AUTOMATON", 150)
+    assert {tuple(r) for r in L.leaks(docs, items).collect()} == once and len(once) > 100

@@ -51,3 +51,11 @@ def test_late_seeds_keep_their_neighbours():
 def test_empty(spark):
     docs, windows, _ = table(spark)
     assert P.pack_documents(docs.limit(0), windows).count() == 0 and P.pack_documents(docs, windows.limit(0)).count() == 0
+
+
+def test_an_id_under_two_sources_is_packed_once(spark):
+    rows = [(k, f"text number {k} of the archive", "en", f"s{k % 9}") for k in range(300)] + [(5, "text number 5 of the archive", "de", "other"), (5, "text number 5 of the archive", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    windows = spark.createDataFrame([(1, "s", 64)], "window_id long, label string, capacity_tokens long")
+    got = P.pack_documents(docs, windows, shard_rows=50)
+    assert got.count() == 300 and got.where("doc_id = 5").count() == 1
