@@ -1,10 +1,11 @@
 """Repair of text from scanned pages: running lines out, divided words joined, misread words corrected.
 
 The corpus is its own dictionary. A first pass counts words, apart for typed texts and for page layouts; words that stand
-almost only on pages are suspects. Suspects and the words of typed texts meet in an index of strokes: both sides rewrite
-look-alike glyphs to one form, with nothing left to delete, and a join on the forms generates the candidates. The
-weighted edit distance, in which pairs of look-alike glyphs are cheap, orders them; where two are close, counts of the word
-pairs they would form with their neighbours decide. A second pass over the pages finds the lines and words to repair.
+almost only on pages are suspects. Suspects and the words of typed texts meet in a symmetric-delete index: both sides leave out
+up to one or two glyphs, what is left is written in the strokes of look-alike glyphs, and a join on these remainders generates
+the candidates. The weighted edit distance orders them; its costs are learned from the corpus: a confusion that many suspects
+show is cheap. Counts of the word pairs that a candidate would form with its neighbours decide between close candidates, and
+whether a word that is no look-alike of any is repaired at all. A second pass over the pages finds the lines and words to repair.
 
 Only counts, remainders and repairs are shuffled, never texts. Suspect words are sent out as a filter of fixed size.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-# Glyphs and what they are read as.
+# Glyphs and what they are read as, cheap from the start.
 CONFUSIONS = (
     ("m", "rn"), ("rn", "m"), ("n", "ri"), ("ri", "n"), ("u", "ii"), ("ii", "u"), ("ü", "ii"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("vv", "w"),
     ("h", "li"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("o", "0"), ("l", "1"), ("i", "1"), ("l", "|"), ("i", "|"), ("i", "l"), ("l", "i"), ("s", "5"),
@@ -150,29 +152,31 @@ def titles_of(line: str) -> list[str]:
     return [skeleton(s) for s in segments(NUMBER_END.sub("", line))]
 
 
-def flow(text: str, known=None):
-    """(running lines, lines of known titles, tokens) of a page; a token is (text, divided left part or None, its hyphen)."""
-    running, titles, tokens = [], [], []
-    pending = None
-    for line, role in layout(text, known):
-        if role in ("run", "run?"):
-            (running if role == "run" else titles).append(line.strip())
-        if role in ("run", "run?", "blank"):
-            continue
+def tokens_of(lines):
+    """(text, divided left part or None, its hyphen) of each word in the (line, role) pairs, None between paragraphs.
+
+    A word may be divided over any number of lines; where no line follows, its left part stays as it stands.
+    """
+    left, hyphen = None, ""
+    for line, role in lines:
+        if role == "blank" and left is None:
+            yield None
         words = line.split()
         for k, w in enumerate(words):
-            if pending is not None and k == 0:
-                tokens.append((w, pending[0], pending[1]))
-                pending = None
-                if len(words) == 1 and w[-1] in HYPHENS and len(w) > 2 and w[-2].isalpha():
-                    tokens.pop()
-                    pending = (w[:-1], w[-1])
-                continue
             if k == len(words) - 1 and w[-1] in HYPHENS and len(w) > 1 and (w[-2].isalnum() or w[-2] in "†|@"):
-                pending = (w[:-1], w[-1])
+                left, hyphen = (left or "") + w[:-1], w[-1]
             else:
-                tokens.append((w, None, ""))
-    return running, titles, tokens
+                yield w, left, hyphen
+                left, hyphen = None, ""
+    if left is not None:
+        yield left + hyphen, None, ""
+
+
+def flow(text: str, known=None):
+    """(running lines, lines of known titles, tokens) of a page; a token is (text, divided left part or None, its hyphen)."""
+    lines = layout(text, known)
+    tokens = [t for t in tokens_of((line, role) for line, role in lines if role not in ("run", "run?")) if t]
+    return [line.strip() for line, role in lines if role == "run"], [line.strip() for line, role in lines if role == "run?"], tokens
 
 
 def pieces(token: str) -> list[str]:
@@ -213,61 +217,115 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, COUNTS).groupBy("kind", "word").agg(F.sum("typed").alias("typed"), F.sum("paged").alias("paged"))
 
 
+def deletions(length: int) -> int:
+    """Glyphs that a word of a length may lack in the index: none in words of up to three, two in words of nine to 24."""
+    return 0 if length < 4 else 2 if 9 <= length <= 24 else 1
+
+
 def remainders(word: str) -> list[int]:
-    """Hashes of what is left of the word with its look-alike glyphs rewritten to their strokes, one or two.
+    """Hashes of what is left of the word without up to `deletions` of its glyphs, in the strokes of look-alike glyphs.
 
-    Only look-alikes are cheap enough for a repair, and each leaves the same strokes, so nothing need be deleted beyond them.
+    Words that can be read as each other by look-alikes alone, any number of them, leave the same with nothing deleted.
     """
-    return [xxhash.xxh64_intdigest(b) - (1 << 63) for b in {skeleton(word), skeleton(word, True)}]
+    left = {word}
+    for n in range(1, deletions(len(word)) + 1):
+        left |= {"".join(word[k] for k in range(len(word)) if k not in out) for out in combinations(range(len(word)), n)}
+    return [xxhash.xxh64_intdigest(b) - (1 << 63) for b in {skeleton(w) for w in left} | {skeleton(word, True)}]
+
+
+#: Cost of a listed look-alike, and of a change that nothing makes likely.
+LISTED, OTHER = 0.2, 1.0
+#: Confusions that are learned, the most frequent ones.
+CONFUSIONS_KEPT = 2000
 
 
-def distance(seen: str, true: str) -> float:
-    """Weighted edit distance: 0.2 for a look-alike pair, 1 for any other change, drop or addition."""
+def align(seen: str, true: str, costs: dict[tuple[str, str], float] | None = None) -> tuple[float, list[tuple[str, str]]]:
+    """Weighted edit distance with the confusions (seen, true) of the cheapest way. costs: what learned confusions cost."""
+    costs = costs or {}
     n, m = len(seen), len(true)
-    best = np.full((n + 1, m + 1), np.inf)
-    best[0, 0] = 0
+    best = [[np.inf] * (m + 1) for _ in range(n + 1)]
+    came: dict[tuple[int, int], tuple[int, int]] = {}
+    best[0][0] = 0.0
     for i in range(n + 1):
         for j in range(m + 1):
-            d = best[i, j]
+            d = best[i][j]
             if d == np.inf:
                 continue
-            if i < n and j < m:
-                step = 0 if seen[i] == true[j] else 1
-                best[i + 1, j + 1] = min(best[i + 1, j + 1], d + step)
-            if i < n:
-                best[i + 1, j] = min(best[i + 1, j], d + 1)
-            if j < m:
-                best[i, j + 1] = min(best[i, j + 1], d + 1)
-            for size in (1, 2):
-                for t in READ.get(seen[i : i + size], ()) if i + size <= n else ():
-                    if true.startswith(t, j):
-                        best[i + size, j + len(t)] = min(best[i + size, j + len(t)], d + 0.2)
-    return float(best[n, m])
+            steps = []
+            if i < n and j < m and seen[i] == true[j]:
+                steps.append((1, 1, 0.0))
+            for a in (0, 1, 2):
+                for b in (0, 1, 2):
+                    if (a, b) == (0, 0) or i + a > n or j + b > m:
+                        continue
+                    x, y = seen[i : i + a], true[j : j + b]
+                    cost = costs.get((x, y), OTHER if a < 2 and b < 2 else np.inf)
+                    steps.append((a, b, min(cost, LISTED) if y in READ.get(x, ()) else cost))
+            for a, b, cost in steps:
+                if d + cost < best[i + a][j + b]:
+                    best[i + a][j + b] = d + cost
+                    came[i + a, j + b] = (i, j)
+    path, at = [], (n, m)
+    while at in came:
+        i, j = came[at]
+        if seen[i : at[0]] != true[j : at[1]]:
+            path.append((seen[i : at[0]], true[j : at[1]]))
+        at = (i, j)
+    return float(best[n][m]), path[::-1]
+
+
+def distance(seen: str, true: str, costs: dict[tuple[str, str], float] | None = None) -> float:
+    return align(seen, true, costs)[0]
+
+
+def learned(pairs: DataFrame) -> dict[tuple[str, str], float]:
+    """Costs of confusions from the suspects that have one candidate: the more suspects show a confusion, the cheaper it is.
+
+    The most frequent confusion costs as much as a listed one; with each power of ten less often it costs 0.4 more, up to OTHER.
+    """
+    order = Window.partitionBy("word")
+    alone = pairs.withColumn("candidates", F.count("*").over(order)).where("candidates = 1 and size(changes) = 1")
+    got = alone.select(F.col("changes")[0].alias("change")).groupBy("change").count().orderBy(F.desc("count"), "change").limit(CONFUSIONS_KEPT).collect()
+    top = max((r["count"] for r in got), default=1)
+    return {tuple(r["change"].split("\t")): min(OTHER, LISTED - 0.4 * float(np.log10(r["count"] / top))) for r in got}
 
 
 def candidates(counts: DataFrame, most: float = 0.9) -> DataFrame:
-    """(word, candidate, cased, cost, n): repairs of suspect words from the index of strokes, cost at most `most` and nothing but look-alikes."""
+    """(word, candidate, cased, cost, n, edit): repairs of suspect words from the symmetric-delete index.
+
+    Look-alikes and frequent confusions cost at most `most`; a candidate that needs one other change (`edit`) is kept where the
+    suspect never stands in typed text.
+    """
     words = counts.where("kind = 'word'").withColumn("low", F.lower("word"))
     lower = words.groupBy("low").agg(F.sum("typed").alias("typed"), F.sum("paged").alias("paged"), F.max_by("word", F.struct(F.col("typed") + F.col("paged"), F.col("word"))).alias("cased"))
-    suspects = lower.where((F.col("paged") > 0) & (F.col("typed") <= 0.3 * F.col("paged")) & F.col("low").rlike(r"\p{L}") & (F.length("low") >= 2) & (F.length("low") <= 40)).select(F.col("low").alias("word"), F.lit(True).alias("suspect"), (F.col("typed") + F.col("paged")).alias("n"), "cased")
-    known = lower.where((F.col("typed") > 0) & (F.col("typed") > 0.3 * F.col("paged")) & F.col("low").rlike(r"^[\p{L}]+$") & (F.length("low") >= 2) & (F.length("low") <= 40)).select(F.col("low").alias("word"), F.lit(False).alias("suspect"), (F.col("typed") + F.col("paged")).alias("n"), "cased")
+    suspects = lower.where((F.col("paged") > 0) & (F.col("typed") <= 0.3 * F.col("paged")) & F.col("low").rlike(r"\p{L}") & (F.length("low") >= 2)).select(F.col("low").alias("word"), F.lit(True).alias("suspect"), (F.col("typed") + F.col("paged")).alias("n"), "typed", "cased")
+    known = lower.where((F.col("typed") > 0) & (F.col("typed") > 0.3 * F.col("paged")) & F.col("low").rlike(r"^[\p{L}]+$") & (F.length("low") >= 2)).select(F.col("low").alias("word"), F.lit(False).alias("suspect"), (F.col("typed") + F.col("paged")).alias("n"), "typed", "cased")
 
     def index(frames):
         for pdf in frames:
-            yield pd.DataFrame({"word": pdf["word"], "suspect": pdf["suspect"], "n": pdf["n"], "cased": pdf["cased"], "keys": [remainders(w) for w in pdf["word"]]})
+            yield pdf.assign(keys=[remainders(w) for w in pdf["word"]])
 
-    both = suspects.unionByName(known).mapInPandas(index, "word string, suspect boolean, n long, cased string, keys array<long>")
-    entries = cut(both.select("word", "suspect", "n", "cased", F.explode("keys").alias("key")))
-    a = entries.where("suspect").select("word", F.col("n").alias("seen"), "key")
+    both = suspects.unionByName(known).mapInPandas(index, "word string, suspect boolean, n long, typed long, cased string, keys array<long>")
+    entries = cut(both.select("word", "suspect", "n", "typed", "cased", F.explode("keys").alias("key")))
+    a = entries.where("suspect").select("word", F.col("n").alias("seen"), F.col("typed").alias("seen_typed"), "key")
     b = entries.where("not suspect").select(F.col("word").alias("candidate"), "n", "cased", "key")
-    # Words that can be read as each other have the same strokes, of any length and with any number of misread glyphs.
-    pairs = a.join(b, "key").where("n > seen and word <> candidate").select("word", "candidate", "cased", "n").distinct()
+    pairs = a.join(b, "key").where("n > seen and word <> candidate").select("word", "candidate", "cased", "n", "seen", "seen_typed").distinct()
 
-    def cost(frames):
-        for pdf in frames:
-            yield pdf.assign(cost=[distance(x, y) for x, y in zip(pdf["word"], pdf["candidate"])])
+    def weigh(costs):
+        def run(frames):
+            for pdf in frames:
+                done = [align(x, y, costs) for x, y in zip(pdf["word"], pdf["candidate"])]
+                yield pdf.assign(cost=[c for c, _ in done], changes=[["\t".join(x) for x in path] for _, path in done])
+
+        return run
 
-    return pairs.mapInPandas(cost, "word string, candidate string, cased string, n long, cost double").where(F.col("cost") <= most)
+    schema = "word string, candidate string, cased string, n long, seen long, seen_typed long, cost double, changes array<string>"
+    first = cut(pairs.mapInPandas(weigh(None), schema).where(F.col("cost") <= OTHER))
+    # What costs more than one change at first can't be repaired by learned costs of what single changes show.
+    final = first.drop("cost", "changes").mapInPandas(weigh(learned(first)), schema)
+    # A change that isn't frequent needs a word that is never typed, a candidate far more frequent, and some length to be told.
+    edit = (F.col("cost") > most) & (F.size("changes") == 1) & (F.col("seen_typed") == 0) & (F.col("n") >= 20 * F.col("seen")) & (F.length("word") >= 5)
+    return final.withColumn("edit", edit).where((F.col("cost") <= most) | F.col("edit")).select("word", "candidate", "cased", "n", "cost", "edit")
 
 
 def _bits(words: DataFrame, column: str) -> dict[int, int]:
@@ -360,7 +418,7 @@ def context_counts(rows: DataFrame, bits: dict[int, int]) -> DataFrame:
 def repairs(chunks: DataFrame, close: float = 0.15) -> DataFrame:
     """One row per repair: id, place, kind (running, hyphenated, misread), seen, left part, repaired word.
 
-    Null and blank contents and texts that have no page layout need none. A word without a likely reading stays as it is.
+    Null and blank contents and texts that have no page layout need none. A word without a likely reading stays as it is; nothing but running lines is left out.
     Rows delivered twice count once. Of equal readings the more frequent one, then the first in the alphabet, is taken.
     """
     rows = chunks.select(F.col("id").cast("string").alias("id"), F.col("content").cast("string").alias("content")).where(F.col("id").isNotNull() & F.col("content").isNotNull())
@@ -368,16 +426,18 @@ def repairs(chunks: DataFrame, close: float = 0.15) -> DataFrame:
     cands = cut(candidates(counts))
     order = Window.partitionBy("word").orderBy("cost", F.desc("n"), "candidate")
     ranked = cands.withColumn("rank", F.row_number().over(order)).withColumn("least", F.min("cost").over(Window.partitionBy("word"))).where(F.col("cost") <= F.col("least") + close)
-    ranked = cut(ranked.withColumn("many", F.count("*").over(Window.partitionBy("word")) > 1))
+    ranked = cut(ranked.withColumn("many", (F.count("*").over(Window.partitionBy("word")) > 1) | F.col("edit")))
     titles = counts.where("kind = 'title' and paged >= 2")
     found = cut(findings(rows, _bits(ranked.where("rank = 1"), "word"), _bits(titles, "word")).dropDuplicates(["id", "kind", "place"]))
 
     uses = found.where("kind in ('word', 'divided')").select("id", "kind", "place", "prev", "next", F.posexplode("pieces").alias("at", "word"))
     plain = uses.join(ranked.where("rank = 1 and not many").select("word", "candidate", "cased"), "word").select("id", "kind", "place", "at", "candidate", "cased")
-    open_ = uses.join(ranked.where("many").select("word", "candidate", "cased", "cost", "n"), "word")
+    open_ = uses.join(ranked.where("many").select("word", "candidate", "cased", "cost", "n", "edit"), "word")
     pairs = context_counts(rows, _bits(ranked.where("many").select("candidate").distinct(), "candidate"))
     left, right = pairs.select(F.col("one").alias("prev"), F.col("two").alias("candidate"), F.col("pairs").alias("before")), pairs.select(F.col("one").alias("candidate"), F.col("two").alias("next"), F.col("pairs").alias("after"))
     weighed = open_.join(left, ["prev", "candidate"], "left").join(right, ["candidate", "next"], "left").fillna(0, ["before", "after"])
+    # What is no look-alike is repaired only where typed texts know it beside both of its neighbours.
+    weighed = weighed.where(~F.col("edit") | (F.col("before") > 0) & (F.col("after") > 0))
     pick = Window.partitionBy("id", "kind", "place", "at").orderBy(F.desc(F.log1p(F.col("before")) + F.log1p(F.col("after")) - 5 * F.col("cost")), F.desc("n"), "candidate")
     decided = weighed.withColumn("pick", F.row_number().over(pick)).where("pick = 1").select("id", "kind", "place", "at", "candidate", "cased")
     fixes = plain.unionByName(decided).groupBy("id", "kind", "place").agg(F.collect_list(F.struct("at", "candidate", "cased")).alias("fixes"))  # a few per word
@@ -452,29 +512,19 @@ def reflow(text: str, fixes) -> str:
     fixes = [] if fixes is None else fixes
     running = {f["found"] for f in fixes if f["kind"] == "running"}
     words = {f["place"]: f for f in fixes if f["kind"] != "running"}
-    paragraphs, current, place, pending = [], [], 0, False
-    for line, role in layout(text):
-        if role == "blank":
-            if current and not pending and STOP.search(current[-1]):
+    paragraphs, current, place = [], [], 0
+    for token in tokens_of((line, role) for line, role in layout(text) if role != "run" and line.strip() not in running):
+        if token is None:
+            if current and STOP.search(current[-1]):
                 paragraphs.append(" ".join(current))
                 current = []
             continue
-        if role == "run" or line.strip() in running:
-            continue
-        tokens = line.split()
-        for k, w in enumerate(tokens):
-            last = k == len(tokens) - 1
-            if last and w[-1] in HYPHENS and len(w) > 1 and (w[-2].isalnum() or w[-2] in "†|@"):
-                pending = True
-                continue
-            fix = words.get(place)
-            if fix is not None:
-                bare = (fix["left"] or "") + fix["seen"] if fix["kind"] == "hyphenated" else w
-                lead = bare[: len(bare) - len(bare.lstrip(EDGE))]
-                tail = bare[len(bare.rstrip(EDGE)) :]
-                w = lead + fix["found"] + tail
-            current.append(w)
-            place, pending = place + 1, False
+        w, left, _ = token
+        fix, bare = words.get(place), (left or "") + w
+        if fix is not None:
+            bare = bare[: len(bare) - len(bare.lstrip(EDGE))] + fix["found"] + bare[len(bare.rstrip(EDGE)) :]
+        current.append(bare)
+        place += 1
     if current:
         paragraphs.append(" ".join(current))
     return "\n\n".join(paragraphs)

@@ -61,3 +61,35 @@ def test_every_look_alike_meets(spark):
     rows = [("word", seen, 0, 1) for seen, _ in pairs] + [("word", true, 9, 2) for _, true in pairs] + [("word", "thc", 0, 1), ("word", "zorvex", 0, 3)]
     got = {(r.word, r.candidate) for r in S.candidates(spark.createDataFrame(rows, "kind string, word string, typed long, paged long")).collect()}
     assert got == {*pairs, ("thc", "the")}
+
+
+def test_nothing_is_lost(spark):
+    """Words divided over three lines and at the end of a page keep all of their parts."""
+    page = "The weekly meeting of all describes the inter-\nnatio-\nnal archive and the northern manual before the con-"
+    rows = [(f"c{k}", CLEAN + " international") for k in range(9)] + [("x", page)]
+    chunks_ = spark.createDataFrame(rows, "id string, content string")
+    got = {r.id: r.content for r in S.repaired(chunks_).collect()}
+    assert got["x"] == "The weekly meeting of all describes the international archive and the northern manual before the con-"
+    assert {(r.kind, r.found) for r in S.found(chunks_).where("id = 'x'").collect()} == {("hyphenated", "international")}
+
+
+def test_other_misreadings_by_context(spark):
+    """A word that is no look-alike of another is repaired beside neighbours that typed texts know, and nowhere else."""
+    typed = [(f"t{k}", "They sold the old house near the river before the winter came.") for k in range(30)]
+    right = ("r", "They said that nobody has sold the old hause near the\nriver before the winter came and that all was well.")
+    wrong = ("w", "They said that nobody has seen any hause beside the\nriver before the winter came and that all was well.")
+    got = {(r.id, r.kind, r.found) for r in S.found(spark.createDataFrame([*typed, right, wrong], "id string, content string")).collect()}
+    assert got == {("r", "misread", "house")}
+
+
+def test_frequent_confusions_become_cheap():
+    costs = {("x", "k"): 0.3}
+    assert S.distance("boox", "book", costs) == 0.3 and S.distance("booz", "book", costs) == 1
+
+
+def test_long_words_and_their_index(spark):
+    long_ = "donaudampfschifffahrtsgesellschaftskapitaensmuetze"
+    seen = long_.replace("m", "rn")
+    rows = [("word", seen, 0, 1), ("word", long_, 9, 0)]
+    got = [(r.word, r.candidate) for r in S.candidates(spark.createDataFrame(rows, "kind string, word string, typed long, paged long")).collect()]
+    assert got == [(seen, long_)] and set(S.remainders("hause")) & set(S.remainders("house")) and not set(S.remainders("cat")) & set(S.remainders("cut"))
