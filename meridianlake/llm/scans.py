@@ -235,8 +235,8 @@ def remainders(word: str) -> list[int]:
 
 #: Cost of a listed look-alike, and of a change that nothing makes likely.
 LISTED, OTHER = 0.2, 1.0
-#: Confusions that are learned, the most frequent ones.
-CONFUSIONS_KEPT = 2000
+#: Confusions that are learned, the most frequent ones, and suspects that have to show one.
+CONFUSIONS_KEPT, LEAST_SHOWN = 2000, 3
 
 
 def align(seen: str, true: str, costs: dict[tuple[str, str], float] | None = None) -> tuple[float, list[tuple[str, str]]]:
@@ -285,7 +285,7 @@ def learned(pairs: DataFrame) -> dict[tuple[str, str], float]:
     """
     order = Window.partitionBy("word")
     alone = pairs.withColumn("candidates", F.count("*").over(order)).where("candidates = 1 and size(changes) = 1")
-    got = alone.select(F.col("changes")[0].alias("change")).groupBy("change").count().orderBy(F.desc("count"), "change").limit(CONFUSIONS_KEPT).collect()
+    got = alone.select(F.col("changes")[0].alias("change")).groupBy("change").count().where(F.col("count") >= LEAST_SHOWN).orderBy(F.desc("count"), "change").limit(CONFUSIONS_KEPT).collect()
     top = max((r["count"] for r in got), default=1)
     return {tuple(r["change"].split("\t")): min(OTHER, LISTED - 0.4 * float(np.log10(r["count"] / top))) for r in got}
 
