@@ -75,7 +75,7 @@ def test_nothing_is_lost(spark):
 
 def test_other_misreadings_by_context(spark):
     """A word that is no look-alike of another is repaired beside neighbours that typed texts know, and nowhere else."""
-    typed = [(f"t{k}", "They sold the old house near the river before the winter came.") for k in range(30)]
+    typed = [(f"t{k}", "They sold the old house near the river before the winter came.") for k in range(50)]
     right = ("r", "They said that nobody has sold the old hause near the\nriver before the winter came and that all was well.")
     wrong = ("w", "They said that nobody has seen any hause beside the\nriver before the winter came and that all was well.")
     got = {(r.id, r.kind, r.found) for r in S.found(spark.createDataFrame([*typed, right, wrong], "id string, content string")).collect()}
