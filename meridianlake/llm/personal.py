@@ -1,13 +1,14 @@
 """Personal items in free text and JSON values, replaced by typed placeholders.
 
-E-mail addresses, telephone numbers, identity numbers and street addresses have forms that can be told from the text
-alone; check digits decide where there are any. Names have none. For them the corpus tells how strongly each term reveals
-a person: a term's disclosure is the log ratio of its frequency in the local parts of e-mail addresses to its frequency in
-running text. Terms above the threshold are protected; runs of capitalised words around them are names. What exceeds the
-threshold is removed in favour of a placeholder, the rest stays.
-
-Two map-only passes over the texts. Only counts of terms and candidate runs are shuffled; the protected terms are sent out
-as a filter of a fixed number of bits, and candidates get the exact scores by a join.
+Protected entities are the persons whom the corpus names, with their mail addresses, telephone and identity numbers and street
+addresses. The corpus tells by co-occurrence how much a term reveals of them: the disclosure of a term is its pointwise mutual
+information with an entity kind, as a share of the information of the kind itself (1: who reads the term knows the kind).
+Forms with their check digits are the seeds of mail addresses, numbers and street addresses; their terms are the shape of an
+item and the word before it, which also stand on spans that fail their check and in plain text. Persons are seeded by the local
+parts of mail addresses; the terms of a name are its words, which also co-occur with each other in runs of capitalised words. An
+item whose most telling term reaches the threshold is generalised to its kind: a placeholder takes its place.
+
+One map-only pass over the texts finds spans, runs and counts. Only these are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 SPACE = r"[    ]"
 _AT = rf"(?:{SPACE}?@{SPACE}?|{SPACE}?[\(\[]{SPACE}?(?:at|AT){SPACE}?[\)\]]{SPACE}?|{SPACE}(?:at|AT){SPACE})"
@@ -77,7 +78,6 @@ LINK = re.compile(rf"(?:[  \n]+|(?P<comma>,[  \n]+))(?:(?P<part>{_PART})[  \n
 PARTICLE = re.compile(_PART)
 LEAD = re.compile(rf"(?<![\w'’])({_PART})[  \n]+$")
 
-BITS = 1 << 20
 ODD = dict(zip("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)))  # fixed values of the Italian fiscal code
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value
 
@@ -211,7 +211,7 @@ ORGANISATION = frozenset("logistics library trust works institute holdings servi
 
 
 def names_in(text: str, run: list[tuple[int, int, str, str]], score) -> list[tuple[int, int]]:
-    """Spans of names in a run. score(word) is 2 for a protected term, 1 for a rare one, 0 for any other."""
+    """Spans of names in a run. score(word) is 2 for a protected term, 1 for one that stands beside such terms, 0 for any other."""
     marks = [(1 if role == "initial" else 0, score(text[a:b]) if role == "word" else 0) for a, b, role, _ in run]
     found, i = [], 0
     while i < len(run):
@@ -221,8 +221,6 @@ def names_in(text: str, run: list[tuple[int, int, str, str]], score) -> list[tup
         j = i
         while j + 1 < len(run) and (marks[j + 1][0] or marks[j + 1][1]) and not (run[j + 1][3] == "," and (j > i or marks[i][0] or marks[j + 1] == (0, 1))):
             j += 1
-            if j - i >= 4:
-                break
         span = list(range(i, j + 1))
         while span and marks[span[-1]][0] and run[span[-1]][3] != " ":
             span.pop()
@@ -282,124 +280,156 @@ def _rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(*(F.col(c).cast("string").alias(c) for c in ("id", "content", "metadata"))).where(F.col("id").isNotNull())
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """(term, in_mail, in_text, lower): occurrences in local parts of e-mail addresses, capitalised and lower-case in text."""
+RAW = "id string, field string, path string, start long, stop long, kind string, found string, text string, run string, terms array<string>, n long"
+COLUMNS = ["id", "field", "path", "start", "stop", "kind", "found", "text", "run", "terms", "n"]
+BLANKS = re.compile(r"\s+")
+SHAPE = re.compile(r"\d+|[^\W\d_]+")
+BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}$")
+
+
+def shape(kind: str, text: str) -> str:
+    """What a span looks like: of numbers the length of each run of digits, else 9 for digits, A and a for capitalised and other words, however many there are of each."""
+    numeric = kind not in ("email", "address")
+    flat = SHAPE.sub(lambda m: (f"9{len(m[0])}" if numeric else "9") if m[0][0].isdigit() else "a" if kind == "email" or m[0].islower() else "A", text)
+    flat = BLANKS.sub(" ", flat)
+    return "=" + (flat if numeric else re.sub(r"(\S+?)(?:\s?\1)+", r"\1", flat))
+
 
-    def count(frames):
+def mail_terms(address: str) -> list[str]:
+    local = re.split(_AT, address, maxsplit=1)[0].split("+")[0]
+    return [t for t in (term(x) for x in re.split(r"[._\-\d]+", local)) if len(t) > 2]
+
+
+def spans(chunks: DataFrame) -> DataFrame:
+    """What one pass over the texts finds, by `kind`: items by their form, `other` spans that fail their check, `run`s of
+    capitalised words, and under `#` counts of a term (found): in mail addresses (start), capitalised (stop) and lower-case (n)."""
+
+    def run(frames):
         mail, text_, lower = Counter(), Counter(), Counter()
         for pdf in frames:
-            for content, metadata in zip(pdf["content"], pdf["metadata"]):
-                for _, _, text in fields(content, metadata):
+            got = []
+            for key, content, metadata in zip(pdf["id"], pdf["content"], pdf["metadata"]):
+                for field, path, text in fields(content, metadata):
+                    found, taken = structured(text)
                     plain = text
-                    if MAILY.search(text):
-                        for m in EMAIL.finditer(text):
-                            local = re.split(_AT, m[0], maxsplit=1)[0].split("+")[0]
-                            mail.update(t for t in (term(x) for x in re.split(r"[._\-\d]+", local)) if len(t) > 2)
-                        plain = EMAIL.sub(" ", text)
-                    if may_hold_street(plain):
-                        for pattern in ADDRESSES:
-                            plain = pattern.sub(" ", plain)
-                    words = re.findall(r"[^\W\d_]+", plain)
+                    if taken:
+                        kinds = {(a, b): kind for a, b, kind in found}
+                        for a, b in taken:
+                            kind = kinds.get((a, b), "other")
+                            if kind == "email":
+                                mail.update(mail_terms(text[a:b]))
+                            cue = BEFORE.search(text, max(0, a - 30), a)
+                            terms = [shape(kind, text[a:b]), *([cue[1].lower()] if cue else [])]
+                            got.append((key, field, path, a, b, kind, BLANKS.sub(" ", text[a:b]), None, None, terms, None))
+                            plain = plain[:a] + " " * (b - a) + plain[b:]
+                    words = WORDS.findall(plain)
                     lower.update(filter(str.islower, words))
                     text_.update(w for w in words if not w.islower())
-            if len(text_) + len(lower) > 500_000:
-                yield _counts(mail, text_, lower)
-                mail, text_, lower = Counter(), Counter(), Counter()
-        yield _counts(mail, text_, lower)
+                    for r in runs(text, taken):
+                        a, b = r[0][0], r[-1][1]
+                        terms = sorted({t for x, y, role, _ in r if role == "word" for t in parts(text[x:y])})
+                        got.append((key, field, path, a, b, "run", None, text[a:b], json.dumps([(x - a, y - a, role, link) for x, y, role, link in r]), terms, None))
+            if len(text_) + len(lower) > 300_000:
+                got += _counted(mail, text_, lower)
+            yield pd.DataFrame(got, columns=COLUMNS)
+        yield pd.DataFrame(_counted(mail, text_, lower), columns=COLUMNS)
 
-    counted = _rows(chunks).mapInPandas(count, "term string, in_mail long, in_text long, lower long")
-    return counted.groupBy("term").agg(F.sum("in_mail").alias("in_mail"), F.sum("in_text").alias("in_text"), F.sum("lower").alias("lower"))
+    return _rows(chunks).mapInPandas(run, RAW)
 
 
-def _counts(mail: Counter, text: Counter, lower: Counter) -> pd.DataFrame:
+WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _counted(mail: Counter, text: Counter, lower: Counter) -> list[tuple]:
     got: dict[str, list[int]] = {}
     for k, counter in enumerate((mail, text, lower)):
         for w, n in counter.items():
             t = w if k == 0 else term(w)
             if t:
                 got.setdefault(t, [0, 0, 0])[k] += n
-    return pd.DataFrame([(t, *n) for t, n in got.items()], columns=["term", "in_mail", "in_text", "lower"])
+        counter.clear()
+    return [(None, None, None, a, b, "#", t, None, None, None, c) for t, (a, b, c) in got.items()]
 
 
-def disclosure(counts: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """(term, bits, score): bits of information that a term gives on a protected person; score 2 at or above the threshold, 1 if rare."""
-    totals = counts.agg(F.sum("in_mail").alias("mails"), F.sum(F.col("in_text") + F.col("lower")).alias("texts"))
-    rate_mail = (F.col("in_mail") + 0.01) / (F.col("mails") + 1)
-    rate_text = (F.col("in_text") + F.col("lower") + 1) / (F.col("texts") + 1)
-    bits = F.log2(rate_mail / rate_text)
-    proper = (F.col("in_mail") > 0) & (F.col("lower") == 0)
-    rare = (F.col("in_text") <= F.greatest(F.lit(20), F.col("texts") / 200_000)) & (F.col("lower") == 0)
-    scored = counts.crossJoin(F.broadcast(totals)).withColumn("bits", bits)  # totals is one row
-    return scored.select("term", "bits", "in_mail", F.when((F.col("in_mail") > 0) & (F.col("bits") >= threshold), 2).when(rare | proper, 1).otherwise(0).alias("score"))
+def disclosure(counts: DataFrame) -> DataFrame:
+    """(term, in_mail, in_text, lower, score): how much of the information on a person a term gives, by its pointwise mutual
+    information over the contexts in which it stands, mail addresses and text."""
+    totals = counts.agg(F.sum("in_mail").alias("mails"), F.sum(F.col("in_mail") + F.col("in_text") + F.col("lower")).alias("all"))
+    scored = counts.crossJoin(F.broadcast(totals))  # totals is one row
+    bits = F.log2((F.col("in_mail") * (F.col("all") + 1)) / ((F.col("in_mail") + F.col("in_text") + F.col("lower") + 1) * (F.col("mails") + 1)))
+    return scored.select("term", "in_mail", "in_text", "lower", "all", F.when(F.col("in_mail") > 0, bits / F.log2((F.col("all") + 2) / (F.col("mails") + 1))).otherwise(0.0).alias("score"))
 
 
-def _hash(text: str) -> int:
-    import zlib
+def kind_disclosure(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """(kind, term, score) for shapes of items and words before them. A shape's marginal are all spans, a word's its occurrences in the corpus."""
+    of = candidates.where("kind <> 'run'").select("kind", F.explode("terms").alias("term")).groupBy("kind", "term").agg(F.count("*").alias("joint"))
+    kinds = candidates.where("kind not in ('run', 'other')").groupBy("kind").agg(F.count("*").alias("items"))  # one row for each kind
+    every = counts.agg(F.sum(F.col("in_mail") + F.col("in_text") + F.col("lower")).alias("all"))
+    shapes = of.where("term like '=%'").groupBy("term").agg(F.sum("joint").alias("n"))
+    words = counts.select("term", (F.col("in_text") + F.col("lower")).alias("n"))
+    both = of.where("kind <> 'other'").join(shapes.unionByName(words), "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(every))
+    bits = F.log2(F.col("joint") * (F.col("all") + F.col("items")) / (F.greatest("n", "joint") * F.col("items")))
+    return both.select("kind", "term", (bits / F.log2((F.col("all") + F.col("items")) / F.col("items"))).alias("score"))
 
-    return zlib.crc32(text.encode()) % BITS
 
-
-CANDIDATES = "id string, field string, path string, start long, stop long, kind string, found string, text string, run string, terms array<string>"
-BLANKS = re.compile(r"\s+")
+SALT = 16
 
 
-def items(chunks: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """One row per personal item: id, field, path of the JSON value, start, stop, kind and the item as it stands.
+def items(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row per personal item: id, field, path of the JSON value, start, stop, kind, the item as it stands, its most telling term
+    and the term's disclosure, a share of the information on the kind that is at least `threshold`.
 
     Null contents and metadata hold nothing; metadata that can't be read is searched as plain text. Rows delivered twice
     count once. Items never overlap: addresses of mail come before numbers, numbers before street addresses, names last.
     """
-    counts = disclosure(term_counts(chunks), threshold)
-    scores = cut(counts.where("score > 0"))
-    places = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BITS))
-    words = scores.where("score = 2").select(places.alias("h")).groupBy(F.expr("int(h div 64)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(h % 64)))").alias("b")).collect()  # at most BITS / 64 rows
-    bits = {r["w"]: r["b"] & 0xFFFFFFFFFFFFFFFF for r in words}
-    held = chunks.sparkSession.sparkContext.broadcast(bits)
+    raw = cut(spans(chunks))
+    counts = cut(raw.where("kind = '#'").groupBy(F.col("found").alias("term")).agg(F.sum("start").alias("in_mail"), F.sum("stop").alias("in_text"), F.sum("n").alias("lower")))
+    candidates = cut(raw.where("kind <> '#'").drop("n").dropDuplicates(["id", "field", "path", "start", "stop"]))
+    place = ["id", "field", "path", "start", "stop"]
 
-    def maybe(t: str) -> bool:
-        h = _hash(t)
-        return bool(held.value.get(h >> 6, 0) >> (h & 63) & 1)
+    formed = candidates.where("kind not in ('run', 'other')")
+    known = small(kind_disclosure(candidates, counts))
+    telling = formed.select(*place, "kind", "found", F.explode("terms").alias("term")).join(known, ["kind", "term"]).groupBy(*place, "kind", "found").agg(F.max_by("term", F.struct("score", "term")).alias("term"), F.max("score").alias("score"))
+    sure = telling.where(F.col("score") >= threshold)
 
-    def run(frames):
-        for pdf in frames:
-            got = []
-            for key, content, metadata in zip(pdf["id"], pdf["content"], pdf["metadata"]):
-                for field, path, text in fields(content, metadata):
-                    found, taken = structured(text)
-                    for a, b, kind in found:
-                        got.append((key, field, path, a, b, kind, BLANKS.sub(" ", text[a:b]), None, None, None))
-                    for r in runs(text, taken):
-                        a, b = r[0][0], r[-1][1]
-                        terms = sorted({t for x, y, role, _ in r if role == "word" for t in parts(text[x:y])})
-                        if any(map(maybe, terms)) or any(role == "initial" for _, _, role, _ in r):
-                            shifted = json.dumps([(x - a, y - a, role, link) for x, y, role, link in r])
-                            got.append((key, field, path, a, b, "run", None, text[a:b], shifted, terms))
-            yield pd.DataFrame(got, columns=["id", "field", "path", "start", "stop", "kind", "found", "text", "run", "terms"])
-
-    raw = cut(_rows(chunks).mapInPandas(run, CANDIDATES).dropDuplicates(["id", "field", "path", "start", "stop"]))
-    sure = raw.where("kind <> 'run'").select("id", "field", "path", "start", "stop", "kind", "found")
+    people = cut(disclosure(counts))
     # Equal runs are decided once, however often they stand in the corpus.
-    texts = raw.where("kind = 'run'").select("text", "run", "terms").dropDuplicates(["text", "run"])
-    scored = texts.withColumn("term", F.explode("terms")).join(scores.select("term", "score"), "term").groupBy("text", "run").agg(F.map_from_entries(F.collect_list(F.struct("term", "score"))).alias("scores"))
+    texts = cut(candidates.where("kind = 'run'").groupBy("text", "run").agg(F.count("*").alias("n"), F.first("terms").alias("terms")))
+    words = texts.select("text", "run", "n", F.explode("terms").alias("term"))
+    shown = words.join(people.where(F.col("score") >= threshold).select("term"), "term").groupBy("text", "run").agg(F.collect_set("term").alias("protected"))  # words of one run
+    # Of the occurrences of a term in runs, the share beside a protected one.
+    beside = words.join(shown, ["text", "run"], "left").groupBy("term").agg(F.sum("n").alias("stood"), F.sum(F.when(F.size(F.array_remove(F.coalesce("protected", F.array().cast("array<string>")), F.col("term"))) > 0, F.col("n")).otherwise(0)).alias("beside"))
+    rare = (F.col("in_text") <= F.greatest(F.lit(20), F.col("all") / 200_000)) & (2 * F.coalesce("beside", F.lit(0)) >= F.col("stood"))
+    level = F.when(F.col("score") >= threshold, 2).when((F.col("lower") == 0) & ((F.col("in_mail") > 0) | rare), 1)
+    # A term beside protected ones reveals as much as the share of its occurrences says.
+    scores = people.join(beside, "term").select("term", level.alias("level"), F.greatest("score", F.coalesce(F.col("beside") / F.col("stood"), F.lit(0.0))).alias("score")).where("level is not null")
+    scored = words.join(scores, "term").groupBy("text", "run").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("level", "score").alias("s")))).alias("scores"))
 
     def decide(frames):
         for pdf in frames:
             got = []
             for text, shifted, known in zip(pdf["text"], pdf["run"], pdf["scores"]):
                 known = dict(known)
+                level_of = lambda t: known[t]["level"] if t in known else 0
 
                 def score(word: str) -> int:
                     whole, *halves = parts(word)
-                    best = known.get(whole, 0)
+                    best = level_of(whole)
                     if halves and best < 2:
-                        best = max(best, min(known.get(h, 0) for h in halves), 2 if any(known.get(h, 0) == 2 for h in halves) else 0)
+                        best = max(best, min(map(level_of, halves)), 2 if any(level_of(h) == 2 for h in halves) else 0)
                     return best
 
-                got += [(text, shifted, a, b, BLANKS.sub(" ", text[a:b])) for a, b in names_in(text, [tuple(x) for x in json.loads(shifted)], score)]
-            yield pd.DataFrame(got, columns=["text", "run", "a", "b", "found"])
-
-    decided = scored.mapInPandas(decide, "text string, run string, a long, b long, found string")
-    names = raw.where("kind = 'run'").join(decided.withColumnRenamed("found", "name"), ["text", "run"]).select("id", "field", "path", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"), F.lit("name").alias("kind"), F.col("name").alias("found"))
+                for a, b in names_in(text, [tuple(x) for x in json.loads(shifted)], score):
+                    held = [t for w in WORDS.findall(text[a:b].replace("'", "").replace("’", "")) if (t := term(w)) in known] or list(known)
+                    best = max(held, key=lambda t: (known[t]["score"], t))
+                    got.append((text, shifted, a, b, BLANKS.sub(" ", text[a:b]), best, float(known[best]["score"])))
+            yield pd.DataFrame(got, columns=["text", "run", "a", "b", "name", "term", "score"])
+
+    decided = scored.mapInPandas(decide, "text string, run string, a long, b long, name string, term string, score double").where(F.col("score") >= threshold)
+    # A frequent run is spread over SALT tasks, its decision sent to each.
+    salted = decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    standing = candidates.where("kind = 'run'").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salted, ["text", "run", "salt"])
+    names = standing.select("id", "field", "path", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"), F.lit("name").alias("kind"), F.col("name").alias("found"), "term", "score")
     return sure.unionByName(names)
 
 
@@ -407,8 +437,8 @@ def found(chunks: DataFrame) -> DataFrame:
     return items(chunks).select("id", "field", "kind", "found").distinct()
 
 
-def sanitise(chunks: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """id, content, metadata with a placeholder such as [EMAIL] in place of each item; everything else unchanged.
+def sanitise(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """id, content, metadata with each item generalised to its kind by a placeholder such as [EMAIL]; everything else unchanged.
 
     Metadata that can't be read stays text and is sanitised as such. Rows without an item come out as they are. Null ids are
     left out; a repeated id comes out once.

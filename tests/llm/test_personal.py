@@ -115,3 +115,33 @@ def test_sanitised(chunks):
 
 def test_empty(spark):
     assert P.found(spark.createDataFrame([], "id string, content string, metadata string")).count() == 0
+
+
+def test_every_item_has_its_telling_term(chunks):
+    got = P.items(chunks).collect()
+    assert {r.kind for r in got} == {"email", "name"} and all(r.term and 0.5 <= r.score for r in got)
+    assert {r.term for r in got if r.found == "Keith Harrowham"} <= {"keith", "harrowham"}
+
+
+def test_a_form_that_mostly_fails_is_told_by_the_word_before(spark):
+    """Numbers of one shape: among order numbers it says little, after words that stand before valid numbers it does."""
+    good = next(f"{k:016d}" for k in range(4000000000000000, 4000000000000100) if P.luhn(f"{k:016d}"))
+    rows = [(f"o{k}", f"order {4 * 10**15 + 10**6 + k} is on its way and the plain text goes on for a while", None) for k in range(300) if not P.luhn(str(4 * 10**15 + 10**6 + k))]
+    by_chance = ("x", f"order {good} is on its way", None)
+    cards = [(f"c{k}", f"paid by visa {good} today", None) for k in range(3)]
+    got = {(r.id, r.term) for r in P.items(spark.createDataFrame([*rows, by_chance, *cards], "id string, content string, metadata string"), threshold=0.8).collect()}
+    assert got == {(f"c{k}", "visa") for k in range(3)}
+
+
+def test_an_initial_needs_a_name_that_stands_beside_names(spark, chunks):
+    more = [("j", "We asked J. Zorvex and K. Harrowham about the plan.", None, None), ("k", "Here came Keith Wexmore and Nora Wexmore, then T. Wexmore.", None, None)]
+    got = {}
+    for r in P.found(chunks.unionByName(spark.createDataFrame(more, "id string, content string, metadata string, kind string"))).where("id in ('j', 'k')").collect():
+        got.setdefault(r.id, set()).add(r.found)
+    assert got == {"j": {"K. Harrowham"}, "k": {"Keith Wexmore", "Nora Wexmore", "T. Wexmore"}}
+
+
+def test_long_names_are_whole(spark, chunks):
+    long_ = "Keith Marco Nora Alice Susan Harrowham Pembwick"
+    got = P.found(chunks.unionByName(spark.createDataFrame([("l", f"It was {long_} who came.", None, None)], "id string, content string, metadata string, kind string"))).where("id = 'l'").collect()
+    assert [r.found for r in got] == [long_]
