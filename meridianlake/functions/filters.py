@@ -32,12 +32,13 @@ def _any(actual: Column, typed: Column, values) -> Column:
 
 
 def _order(actual: Column, typed: Column, op: str, value) -> Column:
-    """A missing key counts as less than any value: it meets lt and lte, never gt and gte."""
+    """A missing key counts as equal to 0, false and the empty text, and as less than any other value."""
     numeric = isinstance(value, (int, float)) and not isinstance(value, bool)
     got = F.try_variant_get(actual, "$", "double" if numeric else "string")
     want = F.lit(float(value)) if numeric else F.lit(value)
     compared = {"gt": got > want, "gte": got >= want, "lt": got < want, "lte": got <= want}[op]
-    return F.when(typed.isNull() | (typed == "VOID"), F.lit(op in ("lt", "lte"))).otherwise(F.coalesce(compared, F.lit(False)))
+    missing = op in ("lte", "gte") if value in (0, "", False) else op in ("lt", "lte")
+    return F.when(typed.isNull() | (typed == "VOID"), F.lit(missing)).otherwise(F.coalesce(compared, F.lit(False)))
 
 
 def condition(metadata: Column, key: str, expected) -> Column:
@@ -77,3 +78,21 @@ def scoped(filters: dict | None, tenant: str) -> dict:
 
 def valid_namespace(name: Column) -> Column:
     return name.rlike(r"^[A-Za-z0-9_-]{1,64}$")
+
+
+def remote_filter(filters: dict) -> dict:
+    """The filters in the form that remote vector services take: a list of conditions that must all hold.
+
+    Only equality, lists and ranges can be told to such a service; other operators are refused.
+    """
+    must = []
+    for key, expected in filters.items():
+        if isinstance(expected, dict):
+            if other := set(expected) - {"gt", "gte", "lt", "lte"}:
+                raise UnknownOperator(f"operators {sorted(other)} can't be sent to a remote service")
+            must.append({"key": key, "range": dict(expected)})
+        elif isinstance(expected, (list, tuple)):
+            must.append({"key": key, "match": {"any": list(expected)}})
+        else:
+            must.append({"key": key, "match": {"value": expected}})
+    return {"must": must} if must else {}

@@ -37,6 +37,7 @@ def trimmed(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """Valid UTF-8, one kind of line end, no control or zero-width characters, no long runs of blanks or empty lines."""
     t = F.make_valid_utf8(text)
+    # What is replaced, in this order.
     for pattern, put in ((r"\r\n|\r", "\n"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"[\u00AD\u200B-\u200D\uFEFF]", ""), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n")):
         t = F.regexp_replace(t, pattern, put)
     return trimmed(t)
@@ -113,7 +114,15 @@ def phone(text: str) -> bool:
 
 
 CHECKS: dict[str, Callable[[str], bool]] = {"iban": iban, "credit_card": lambda t: luhn(re.sub(r"\D", "", t)), "phone": phone}
-_PATTERNS = {k: re.compile(v.replace(r"\p{L}\p{N}", r"^\W_").replace("[^\\W_._%+\\-]", "[\\w.%+\\-]").replace("[^\\W_\\-]", "[\\w\\-]").replace(r"[\p{L}]", r"[^\W\d_]"), 0 if k in ("email",) else re.ASCII) for k, v in FORMS.items()}
+# The same forms in the dialect of Python.
+_PATTERNS = {
+    "email": re.compile(r"[\w.%+\-]{1,64}@(?:(?:[^\W_]|-){1,63}\.){1,12}[^\W\d_]{2,24}"),
+    "iban": re.compile(FORMS["iban"], re.ASCII),
+    "credit_card": re.compile(FORMS["credit_card"], re.ASCII),
+    "codice_fiscale": re.compile(FORMS["codice_fiscale"], re.ASCII),
+    "vat": re.compile(FORMS["vat"], re.ASCII),
+    "phone": re.compile(FORMS["phone"], re.ASCII),
+}
 
 
 def longest_valid(value: str, check: Callable[[str], bool]) -> int:
@@ -156,6 +165,27 @@ def redacted(text: Column, tokens: bool = False) -> Column:
     return run(text)
 
 
+def redacted_all(texts: Column, tokens: bool = False) -> Column:
+    """struct(texts, counts) of an array of texts: each masked, the items of all of them counted."""
+
+    @F.pandas_udf("texts array<string>, counts map<string, bigint>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out, counted = [], []
+        for values in s:
+            counts: dict[str, int] = {}
+            done = []
+            for x in values if values is not None else ():
+                text, own = redact(x, tokens) if isinstance(x, str) else (None, {})
+                done.append(text)
+                for kind, n in own.items():
+                    counts[kind] = counts.get(kind, 0) + n
+            out.append(done)
+            counted.append(counts)
+        return pd.DataFrame({"texts": out, "counts": counted})
+
+    return run(texts)
+
+
 def mask_form(text: Column, kind: str) -> Column:
     """Items of a form without a check, masked by a plain expression."""
     return F.regexp_replace(text, FORMS[kind], f"[{kind.upper()}]")

@@ -138,28 +138,32 @@ def extend(name: str, strategy: Callable) -> None:
     STRATEGIES[name] = strategy
 
 
-def chunk_text(text: str | None, strategy: str, size: int, overlap: int, function: Callable | None = None) -> list[tuple]:
-    """Structs of one text. parent_child: chunks of `size` inside parents of five times the size, parents first."""
+def chunk_text(text: str | None, strategy: str, size: int, overlap: int, function: Callable | None = None, parent_size: int | None = None) -> list[tuple]:
+    """Structs of one text. parent_child: chunks of `size` by `function` (recursive) inside parents of parent_size (five times the size), parents first."""
     if not text or not text.strip(T.TRIM):
         return []
     if strategy == "parent_child":
-        parents = list(recursive(text, size * 5, 0))
+        parents = list(recursive(text, parent_size or size * 5, 0))
         out = [(k, start, body, None, None, True) for k, (start, body) in enumerate(parents)]
         for k, (start, body) in enumerate(parents):
-            out += [(len(out) + n, start + at, part, None, k, False) for n, (at, part) in enumerate(recursive(body, size, overlap))]
+            out += [(len(out) + n, start + c[0], c[1], c[2] if len(c) > 2 else None, k, False) for n, c in enumerate((function or recursive)(body, size, overlap))]
         return out
     return [(k, c[0], c[1], c[2] if len(c) > 2 else None, None, False) for k, c in enumerate((function or STRATEGIES[strategy])(text, size, overlap))]
 
 
-def chunks(docs: DataFrame, text: str, strategy: str = "recursive", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """One row per chunk with the other columns of its document. Long documents are spread first, so that no task gets them all."""
-    if strategy != "parent_child" and strategy not in STRATEGIES:
-        raise ValueError(f"unknown chunking strategy {strategy!r}")
-    function = STRATEGIES.get(strategy)
+def chunks(docs: DataFrame, text: str, strategy: str = "recursive", size: int = 1000, overlap: int = 200, child: str = "recursive", parent_size: int | None = None) -> DataFrame:
+    """One row per chunk with the other columns of its document. Map-only: a document is chunked where it was read.
+
+    child and parent_size: the strategy of the chunks inside parents, and the parents' size, for strategy parent_child.
+    """
+    named = child if strategy == "parent_child" else strategy
+    if named not in STRATEGIES:
+        raise ValueError(f"unknown chunking strategy {named!r}")
+    function = STRATEGIES[named]
 
     @F.pandas_udf(SCHEMA)
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([chunk_text(x if isinstance(x, str) else None, strategy, size, overlap, function) for x in s])
+        return pd.Series([chunk_text(x if isinstance(x, str) else None, strategy, size, overlap, function, parent_size) for x in s])
 
     return docs.select("*", F.explode(run(F.col(text))).alias("chunk")).select(*docs.columns, "chunk.*")
 

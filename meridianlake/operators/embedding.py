@@ -53,14 +53,31 @@ def embed_texts(rows: DataFrame, provider: Callable[[list[str]], list[list[float
     return rows.where("text is not null").select("key", "text").mapInPandas(run, KNOWN)
 
 
-def with_cache(chunks: DataFrame, cache: DataFrame | None, provider, dimensions: int, identity: str = "deterministic", model: str = "fake-embed-v1", batch: int = 96) -> tuple[DataFrame, DataFrame]:
-    """(chunks with v and used tokens, new cache rows). chunks: tenant_id, text. Each distinct text is embedded once; hits cost nothing."""
+#: Days for which a cached vector is good.
+TTL_DAYS = 30
+
+
+def with_cache(chunks: DataFrame, cache: DataFrame | None, provider, dimensions: int, identity: str = "deterministic", model: str = "fake-embed-v1", batch: int = 96, now: Column | None = None, days: int = TTL_DAYS) -> tuple[DataFrame, DataFrame]:
+    """(chunks with v and used tokens, new cache rows). chunks: tenant_id, text. Each distinct text is embedded once; hits cost nothing.
+
+    Cache rows older than `days` by their `made_at` don't count; rows without that column are good for ever.
+    """
     keyed = chunks.withColumn("key", cache_key(F.coalesce("tenant_id", F.lit("")), F.coalesce("text", F.lit("")), identity, model, dimensions))
     wanted = keyed.where("text is not null").select("key", "text").dropDuplicates(["key"])
     if cache is not None:
+        if "made_at" in cache.columns:
+            cache = cache.where(F.col("made_at") > (F.current_timestamp() if now is None else now) - F.make_dt_interval(F.lit(days)))
+        cache = cache.dropDuplicates(["key"])
         wanted = wanted.join(cache.select("key"), "key", "left_anti")
     fresh = embed_texts(wanted, provider, dimensions, batch)
     known = fresh.select("key", "v", "tokens")
     if cache is not None:
         known = known.unionByName(cache.select("key", "v", F.lit(0).cast("long").alias("tokens")))
     return keyed.join(known, "key", "left"), fresh
+
+
+def clear_cache(cache: DataFrame, tenant: str | None = None) -> DataFrame:
+    """Cache rows that stay: all but those tagged with the tenant, or none. A cache without tags is cleared as a whole."""
+    if tenant is None or "tenant_id" not in cache.columns:
+        return cache.limit(0)
+    return cache.where(~F.col("tenant_id").eqNullSafe(F.lit(tenant)))

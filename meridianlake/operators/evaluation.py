@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 def by_case(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row per case (qid): found, recall, precision (over k, however few hits there are) and reciprocal rank.
 
-    hits: qid, id, rank; relevant: qid, id. A case without relevant ids has a recall of 0. Cases come from `relevant`.
+    hits: qid, id, rank and, where labels may name documents, document_id; relevant: qid, id of a chunk or document. A case without relevant ids has a recall of 0. Cases come from `relevant`.
     """
     wanted = relevant.select("qid", "id").distinct()
-    met = hits.where(F.col("rank") <= k).join(wanted, ["qid", "id"], "left_semi").groupBy("qid").agg(F.countDistinct("id").alias("found"), F.min("rank").alias("first"))
+    top = hits.where(F.col("rank") <= k)
+    named = top.select("qid", "id", "rank")
+    if "document_id" in hits.columns:
+        named = named.unionByName(top.select("qid", F.col("document_id").alias("id"), "rank"))
+    met = named.join(wanted, ["qid", "id"], "left_semi").groupBy("qid").agg(F.countDistinct("id").alias("found"), F.min("rank").alias("first"))
     sizes = relevant.groupBy("qid").agg(F.countDistinct("id").alias("wanted"))
     got = F.coalesce("found", F.lit(0))
     return sizes.join(met, "qid", "left").select(

@@ -9,13 +9,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 
+#: Queries of one scan of the vectors, and scores that a task holds at once (8 bytes each, some copies).
 QUERIES_IN_BLOCK = 4096
+SCORES_IN_TASK = 2_000_000
 
 
 def ranked(hits: DataFrame, k: int | None = None, by: str = "score", name: str = "rank") -> DataFrame:
@@ -25,26 +28,31 @@ def ranked(hits: DataFrame, k: int | None = None, by: str = "score", name: str =
     return out if k is None else out.where(F.col(name) <= max(0, k))
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, decimals: int = 6) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, decimals: int = 6, dimensions: int | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best vectors of each query, scored exactly.
 
     vectors: id, v and, for tenant isolation, scope; queries: qid, q and scope. Queries are taken in blocks of
-    QUERIES_IN_BLOCK; each task scores its vectors against a block by one matrix product and passes on its k best per query,
-    so what is shuffled grows with queries x tasks, not with pairs. Scores are rounded before ranking so that ties are
-    decided by id. Vectors of another length than the query, null vectors and null ids are left out.
+    QUERIES_IN_BLOCK, one scan of the vectors for each; each task scores its vectors against a block by one matrix product and
+    passes on its k best per query, ties decided by id, so what is shuffled grows with queries x tasks, not with pairs. Scores are
+    rounded before ranking. dimensions: a query of another length is an error; a vector of another length than the query, null
+    vectors and null ids are left out. Large collections go through `bucket_topk` or an index of the caller's.
     """
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     scoped = "scope" in vectors.columns and "scope" in queries.columns
     kinds = (vectors.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString())
     rows = vectors.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v"), *([F.col("scope").cast("string").alias("scope")] if scoped else []))
-    asked = queries.where("qid is not null and q is not null").select("qid", F.col("q").cast("array<double>").alias("q"), *([F.col("scope").cast("string").alias("scope")] if scoped else [])).dropDuplicates(["qid"])
+    q = F.col("q").cast("array<double>")
+    if dimensions is not None:
+        q = F.when(F.size(q) == dimensions, q).otherwise(F.raise_error(F.lit(f"queries must have {dimensions} dimensions")).cast("array<double>"))
+    asked = queries.where("qid is not null and q is not null").select("qid", q.alias("q"), *([F.col("scope").cast("string").alias("scope")] if scoped else [])).dropDuplicates(["qid"])
+    # Each block is read by itself, so a block of queries is what the driver holds; one pass tells how many there are.
     total = asked.count()
     blocks = max(1, -(-total // QUERIES_IN_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     out = None
     for block in range(blocks):
-        table = asked.where(F.col("block") == block).drop("block").toArrow()
+        table = (asked.where(F.col("block") == block) if blocks > 1 else asked).drop("block").toArrow()
         found = rows.mapInArrow(_scorer(rows.sparkSession.sparkContext.broadcast(table), k, metric, threshold, decimals, scoped), f"qid {kinds[1]}, id {kinds[0]}, score double")
         out = found if out is None else out.unionByName(found)
     return ranked(out.dropDuplicates(["qid", "id"]), k)
@@ -55,44 +63,70 @@ def _scorer(held, k: int, metric: str, threshold: float | None, decimals: int, s
         table = held.value
         queries = table["q"].to_pylist()
         scopes = np.array(table["scope"].to_pylist(), dtype=object) if scoped else None
-        by_length = {n: np.array([i for i, q in enumerate(queries) if len(q) == n]) for n in {len(q) for q in queries}}
-        qids = table["qid"]
+        lengths_ = np.array([len(q) for q in queries], dtype=np.int64)
+        # Queries by length: their places, matrix and norms, made once.
+        by_length = {}
+        for n in set(lengths_.tolist()) - {0}:
+            at = np.flatnonzero(lengths_ == n)
+            Q = np.array([queries[i] for i in at])
+            by_length[n] = (at, Q, np.sqrt((Q * Q).sum(1)))
+        qids = table["qid"].combine_chunks() if len(table) else table["qid"]
         for batch in batches:
             lengths = np.asarray(batch.column("v").value_lengths())
-            for n, rows in by_length.items():
+            for n, (places, Q, q_norms) in by_length.items():
                 at = np.flatnonzero(lengths == n)
-                if not n or not len(at):
-                    continue
-                part = batch.take(pa.array(at))
-                X = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
-                Q = np.array([queries[i] for i in rows])
-                S = Q @ X.T
-                if metric == "cosine":
-                    norms = np.sqrt((Q * Q).sum(1))[:, None] * np.sqrt((X * X).sum(1))[None, :]
-                    S = np.divide(S, norms, out=np.zeros_like(S), where=norms > 0)
-                elif metric == "l2":
-                    # Differences, not the expanded square: that loses digits where vectors are close.
-                    S = np.stack([1 / (1 + np.sqrt(((X - q) ** 2).sum(1))) for q in Q])
-                S = np.where(np.isnan(S), -np.inf, np.round(S, decimals))
-                if scoped:
-                    own = np.array(part.column("scope").to_pylist(), dtype=object)
-                    S = np.where(scopes[rows][:, None] == own[None, :], S, -np.inf)
-                if threshold is not None:
-                    S = np.where(S >= threshold, S, -np.inf)
-                qi, vi = [], []
-                for row in range(len(rows)):
-                    s = S[row]
-                    # All that is as good as the k-th: ties are decided over all tasks, by id.
-                    floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k > 0 else -np.inf
-                    best = np.flatnonzero((s >= floor) & (s > -np.inf)) if k > 0 else np.zeros(0, dtype=np.int64)
-                    qi.append(np.full(len(best), row))
-                    vi.append(best)
-                qi, vi = np.concatenate(qi), np.concatenate(vi)
-                yield pa.RecordBatch.from_arrays([qids.combine_chunks().take(pa.array(rows[qi])), part.column("id").take(pa.array(vi)), pa.array(S[qi, vi])], ["qid", "id", "score"])
+                step = max(64, SCORES_IN_TASK // len(Q))
+                for lo in range(0, len(at), step):
+                    part = batch.take(pa.array(at[lo : lo + step]))
+                    X = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    S = _scores(Q, q_norms, X, metric)
+                    np.round(S, decimals, out=S)
+                    S[np.isnan(S)] = -np.inf
+                    if scoped:
+                        own = np.array(part.column("scope").to_pylist(), dtype=object)
+                        S[scopes[places][:, None] != own[None, :]] = -np.inf
+                    if threshold is not None:
+                        S[S < threshold] = -np.inf
+                    qi, vi = _best(S, part.column("id"), k)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(places[qi])), part.column("id").take(pa.array(vi)), pa.array(S[qi, vi])], ["qid", "id", "score"])
 
     return run
 
 
+def _scores(Q: np.ndarray, q_norms: np.ndarray, X: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        # Differences, not the expanded square: that loses digits where vectors are close. One dimension after the other keeps it to the size of the result.
+        total = np.zeros((len(Q), len(X)))
+        for j in range(Q.shape[1]):
+            apart = Q[:, j, None] - X[None, :, j]
+            apart *= apart
+            total += apart
+        return 1 / (1 + np.sqrt(total, out=total))
+    S = Q @ X.T
+    if metric == "cosine":
+        norms = q_norms[:, None] * np.sqrt((X * X).sum(1))[None, :]
+        S = np.divide(S, norms, out=np.zeros_like(S), where=norms > 0)
+    return S
+
+
+def _best(S: np.ndarray, ids, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best scores of each row; of equal ones those with the least ids."""
+    if k <= 0 or not S.size:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    # Columns in the order of ids: the first of equal scores is the least id.
+    order = np.asarray(pa.compute.sort_indices(ids)).astype(np.int64)
+    T_ = S[:, order]
+    if T_.shape[1] > k:
+        floor = -np.partition(-T_, k - 1, axis=1)[:, k - 1 : k]
+        above, level = T_ > floor, T_ == floor
+        room = k - above.sum(1, keepdims=True)
+        keep = above | level & (np.cumsum(level, axis=1) <= room)
+    else:
+        keep = np.ones(T_.shape, dtype=bool)
+    qi, vi = np.nonzero(keep & (T_ > -np.inf))
+    return qi, order[vi]
+
+
 def keyword_scores(candidates: DataFrame, queries: DataFrame, k: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, id, score, rank) by BM25 over each query's own candidates: counts and mean length come from the pool alone.
 
@@ -226,3 +260,27 @@ def sign_buckets(vectors: DataFrame, planes: list[list[float]]) -> DataFrame:
     """Vectors with the bucket of a random-hyperplane index; equal buckets are candidates for an exact score."""
     signs = [F.when(V.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in p])) > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(planes)]
     return vectors.withColumn("bucket", sum(signs[1:], signs[0]))
+
+
+def bucket_topk(vectors: DataFrame, queries: DataFrame, k: int, planes: list[list[float]], probes: int = 1, metric: str = "cosine", decimals: int = 6) -> DataFrame:
+    """(qid, id, score, rank) among the vectors whose bucket differs from the query's in at most `probes` signs, scored exactly.
+
+    The index of large collections: queries are copied to the buckets they probe and meet the vectors there in a join on the
+    bucket, so the collection is neither scanned per block of queries nor sent out. What lies in other buckets is not found:
+    more planes make buckets smaller, more probes find more.
+    """
+    from itertools import combinations
+
+    near = [sum(1 << b for b in chosen) for r in range(probes + 1) for chosen in combinations(range(len(planes)), r)]
+    rows = sign_buckets(vectors.where("id is not null and v is not null").select("id", "v"), planes)
+    asked = sign_buckets(queries.where("qid is not null and q is not null").dropDuplicates(["qid"]).select("qid", F.col("q").alias("v")), planes)
+    probed = asked.select("qid", F.col("v").alias("q"), F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(m)) for m in near])).alias("bucket"))
+    scored = probed.join(rows, "bucket").where(F.size("q") == F.size("v")).select("qid", "id", F.round(V.score(metric, F.col("q"), F.col("v")), decimals).alias("score"))
+    return ranked(scored, k)
+
+
+def scored_by_place(hits: DataFrame, results: DataFrame) -> DataFrame:
+    """Hits with the scores of a service that names them by their place: results (qid, index from 0, score); unknown places are skipped."""
+    order = Window.partitionBy("qid").orderBy("rank", "id")
+    placed = hits.withColumn("index", (F.row_number().over(order) - 1).cast("int"))
+    return placed.drop("score", "rank").join(results.select("qid", F.col("index").cast("int").alias("index"), "score"), ["qid", "index"]).drop("index")

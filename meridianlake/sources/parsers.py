@@ -124,7 +124,7 @@ def delimited(data: bytes, mark: str | None = None) -> dict:
     table = [next(csv.reader([line], delimiter=mark), []) for line in lines]
     head = [h.strip() for h in table[0]]
     out = [" | ".join(f"{h}: {v.strip()}" for h, v in zip(head, row)) for row in table[1:]]
-    return {"text": "\n".join(out), "sections": [("table", x, 0, None) for x in out], "metadata": {k: v for k, v in (("columns", ",".join(head)), ("row_count", str(len(out)) if out else "")) if v}}
+    return {"text": "\n".join(out), "sections": [("table", x, 0, None) for x in out], "metadata": falsy_free({"columns": head if any(head) else [], "row_count": len(out)})}
 
 
 def flat_json(value, path: str = "") -> list[str]:
@@ -165,12 +165,61 @@ def docx(data: bytes) -> dict:
     return {"text": "\n".join(texts), "sections": sections}
 
 
+def falsy_free(metadata: dict) -> dict[str, str]:
+    """Metadata without empty values: null, false, 0, '0', '' and empty lists leave no key; lists are joined by commas."""
+    return {k: ",".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v) for k, v in metadata.items() if v and v != "0"}
+
+
+#: Text of an image of a page; the null driver finds none. Set `OCR["driver"]` to a function bytes -> text.
+OCR: dict[str, Callable[[bytes], str]] = {"driver": lambda data: ""}
+OCR_BELOW = 16
+
+
+def pdf_parser(pages: Callable[[bytes], tuple[list[str], dict]], ocr: Callable[[bytes], str] | None = None) -> Callable[[bytes], dict]:
+    """A parser of PDF from a reader of its pages: data -> (texts of the pages, metadata).
+
+    Pages are sections with their number, their texts joined by blank lines. Where these hold fewer than OCR_BELOW characters, the
+    text is that of the OCR driver if it finds any; its failures count as none.
+    """
+
+    def run(data: bytes) -> dict:
+        texts, held = pages(data)
+        body = "\n\n".join(t.strip() for t in texts if t.strip())
+        sections = [("page", t.strip(), 0, n + 1) for n, t in enumerate(texts) if t.strip()]
+        if len(body.strip()) < OCR_BELOW:
+            try:
+                seen = (ocr or OCR["driver"])(data)
+            except Exception:  # noqa: BLE001 - a failed recognition is no text
+                seen = ""
+            body = seen.strip() or body
+        return {"text": body, "sections": sections, "metadata": falsy_free({"title": held.get("title"), "author": held.get("author"), "page_count": len(texts)})}
+
+    return run
+
+
+def pypdf_pages(data: bytes) -> tuple[list[str], dict]:
+    """Pages by an optional library."""
+    import pypdf
+
+    reader = pypdf.PdfReader(io.BytesIO(data))
+    info = reader.metadata
+    return [p.extract_text() or "" for p in reader.pages], {"title": info and info.title, "author": info and info.author}
+
+
 PARSERS: dict[str, Callable[[bytes], dict]] = {
     "text/plain": plain, "text/markdown": markdown, "text/html": html_page, "application/xhtml+xml": html_page, "application/xml": xml_document, "text/xml": xml_document, "text/csv": delimited,
     "text/tab-separated-values": lambda d: delimited(d, "\t"), "application/json": json_document, BY_EXTENSION["docx"]: docx,
 }
 
 
+try:
+    import pypdf  # noqa: F401
+except ImportError:
+    pass
+else:
+    PARSERS["application/pdf"] = pdf_parser(pypdf_pages)
+
+
 def register(mime: str, parser: Callable[[bytes], dict]) -> None:
     PARSERS[mime.lower()] = parser
 
