@@ -20,6 +20,7 @@ from .operators import store as ST
 from .plans.retrieval import Search, ask
 from .sources import parsers as P
 from .sources import readers as R
+from .sources.sinks import shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -703,14 +704,8 @@ def _once(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     """The stream's result over what is there now, written by one run into the shared folder and read back."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="stream-")  # one machine, as in tests
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    shared = shared_folder(spark)
+    at = f"{shared}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         run = result.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         run.awaitTermination()

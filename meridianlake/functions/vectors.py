@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 METRICS = ("cosine", "dot", "l2")
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once: what is bound to a lambda isn't planned again at each place where it stands."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _both(a: Column, b: Column, f) -> Column:
     n = F.least(F.size(a), F.size(b))
     short = lambda v: F.slice(v, F.lit(1), n)
@@ -24,8 +29,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector has no length."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    return _let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -51,8 +55,7 @@ def hash_components(text: Column, dimensions: int = 8, model: str = "fake-embed-
 
 
 def normalised(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return _let(v.cast("array<double>"), lambda w: _let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 
 def embed(text: Column, dimensions: int = 8, model: str = "fake-embed-v1") -> Column:

@@ -13,6 +13,7 @@ from ..operators import chunking as C
 from ..operators import embedding as EM
 from ..operators import store as ST
 from ..sources import parsers as P
+from ..sources.sinks import settled
 
 # Keys of a document's metadata that its chunks don't inherit.
 NOT_INHERITED = ("pii_tokens", "pii_redactions", "json", "rows", "provenance")
@@ -103,8 +104,9 @@ def index_documents(sources: DataFrame, stages: Stages | None = None, strategy:
     parsed = rows.withColumn("parsed", P.parsed(F.col("content"), F.col("mime")))
     merged = F.map_concat(F.map_filter(F.coalesce("parsed.metadata", F.create_map().cast("map<string, string>")), lambda k, v: ~F.map_contains_key(F.coalesce("metadata", F.create_map().cast("map<string, string>")), k)), F.coalesce("metadata", F.create_map().cast("map<string, string>")))
     read = parsed.select("document_id", "tenant_id", "at", F.sha2(F.col("content"), 256).alias("content_hash"), F.col("parsed.text").alias("text"), F.col("parsed.sections").alias("sections"), merged.alias("metadata"), F.col("parsed.error").alias("error"))
-    ready = (stages or default_stages()).process(read)
-    made = chunk_documents(ready.where("error is null and text is not null"), strategy, size, overlap)
+    # Both are used several times: texts are parsed, cleaned and cut once.
+    ready = settled((stages or default_stages()).process(read))
+    made = settled(chunk_documents(ready.where("error is null and text is not null"), strategy, size, overlap))
     children = made.where(~F.coalesce("is_parent", F.lit(False)))
     embedded, fresh = EM.with_cache(children.withColumn("text", F.col("content")), cache, EM.EMBEDDERS.get(embedder), dimensions, identity=embedder)
     vectors = embedded.drop("text", "key", "tokens")

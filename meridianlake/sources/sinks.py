@@ -6,6 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, a folder that all executors share. A session on a cluster that names none is refused; on one machine a temporary one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="shared-")  # one machine, as in tests
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows written once, to go on from the written copy: a reliable checkpoint in the shared folder, where a plan is used more than once."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint(eager=True)
+
+
 def write_generation(rows: DataFrame, path: str, number: int, partition_by: tuple[str, ...] = (), bucket_rows: int | None = None) -> None:
     """A whole new generation beside the old ones. It counts from the moment its files are committed; a failed write leaves none."""
     writer = rows.write.mode("overwrite")
