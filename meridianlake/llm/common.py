@@ -8,6 +8,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settled as cut
+
+__all__ = ["bounded_sample", "cut", "parse_json", "read", "sentence_spans", "small"]
+
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n[ \t]*\n\s*")
 
 
@@ -15,25 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once and go on from the written copy: a reliable checkpoint in the shared folder of the session.
-
-    The folder is spark.checkpoint.dir or the one the context was given; a session that names none is refused, as a folder of
-    one machine would be lost to the others.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="checkpoint-")  # one machine, as in tests
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
-
-
 #: Rows of a few fields each that may be sent to all executors: below some 100 MB.
 SMALL_ROWS = 500_000
 
