@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import math
 from bisect import bisect_left, bisect_right
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -68,8 +67,8 @@ class Index:
         self.often[self.row_of[self.term[inside]], self.doc[inside]] = self.weight[inside]
         self.known: dict[int, np.ndarray] = {}
 
-    def neighbours(self, d: int) -> np.ndarray:
-        """All documents that share a term with document d by their scores over all of its terms, best first."""
+    def scores(self, d: int) -> np.ndarray:
+        """Scores of all documents over all terms of document d, 0 without a common term and for d itself."""
         if d not in self.known:
             terms = self.term[self.rows[d] : self.rows[d + 1]]
             full = self.row_of[terms]
@@ -78,10 +77,26 @@ class Index:
             if spans:
                 score += np.bincount(np.concatenate([self.by_term[s] for s in spans]), weights=np.concatenate([self.by_weight[s] for s in spans]), minlength=self.n)
             score[d] = 0
-            best = np.flatnonzero(score > 0)
-            self.known[d] = best[np.argsort(-score[best], kind="stable")].astype(np.int32)
+            self.known[d] = score
         return self.known[d]
 
+    def neighbours(self, d: int, free: np.ndarray | None = None):
+        """Documents (of those that are free) that share a term with document d, best first, `keep` at a time."""
+        score = self.scores(d)
+        left = np.flatnonzero(score > 0 if free is None else free & (score > 0))
+        own = score[left]
+        if len(left) > self.keep:
+            # The first ones mostly do: they are told without sorting the rest.
+            top = own >= -np.partition(-own, self.keep - 1)[self.keep - 1]
+            order = np.flatnonzero(top)[np.argsort(-own[top], kind="stable")[: self.keep]]
+            yield left[order]
+            rest = np.ones(len(left), dtype=bool)
+            rest[order] = False
+            left, own = left[rest], own[rest]
+        order = left[np.argsort(-own, kind="stable")]
+        for k in range(0, len(order), self.keep):
+            yield order[k : k + self.keep]
+
 
 def pack(sizes: list[int], capacity: int, index: Index) -> list[list[tuple[int, int, int]]]:
     """Containers of (document, part, tokens); part 0 is a whole text, parts of a split one count from 1."""
@@ -98,19 +113,24 @@ def pack(sizes: list[int], capacity: int, index: Index) -> list[list[tuple[int,
     order = items[:]  # unused items by size
     at = {d: (n, d, part) for n, d, part in items}  # one item of each document is open
 
+    free = np.zeros(index.n, dtype=bool)
+    free[list(at)] = True
+
     def take(item):
         del order[bisect_left(order, item)]
         del at[item[1]]
+        free[item[1]] = False
 
     while order:
         seed = order[-1]
         take(seed)
         room, held = capacity - seed[0], [(seed[1], seed[2], seed[0])]
         if order and room >= order[0][0]:
-            ranked = (at[d] for d in index.neighbours(seed[1]).tolist() if d in at)
             # Down the ranking of the unused, `keep` at a time, of these the larger ones first: a small gap takes few documents.
-            while order and room >= order[0][0] and (near := list(islice(ranked, index.keep))):
-                for item in sorted(near, reverse=True):
+            for near in index.neighbours(seed[1], free):
+                if not order or room < order[0][0]:
+                    break
+                for item in sorted((at[d] for d in near.tolist()), reverse=True):
                     if item[0] <= room:
                         take(item)
                         held.append((item[1], item[2], item[0]))
