@@ -26,6 +26,11 @@ from .common import bounded_sample, parse_json, sentence_spans
 LANGUAGES = ("en", "it", "de", "fr", "es")
 #: Labelled rows of the sample that a language needs, and languages up to which the code is exhaustive.
 LEAST_ROWS, EXHAUSTIVE = 5, 7
+#: Share of a label's texts that must read as its own for it to name a language: wrong labels may outnumber the right ones of a
+#: rare language, a label that names none has next to none of its own.
+OWN_SHARE = 0.15
+#: Weight of all bits together, for any number of them, so that costs and thresholds mean the same for any number of languages.
+WEIGHT = 7.5
 
 # Names and three-letter codes of the languages.
 NAMES = {
@@ -130,7 +135,7 @@ class Model:
 def fit(texts: list[str], labels: list[str], temperature: float = 6.0, rounds: int = 2) -> Model:
     """Bit classifiers from labelled texts, for the languages that are labelled LEAST_ROWS times.
 
-    A label most of whose texts are decoded as others names no language and leaves first; then, after each round, texts whose
+    A label hardly any of whose texts are decoded as its own names no language and leaves first; then, after each round, texts whose
     decoded language differs from the label.
     """
     named = Counter(labels)
@@ -140,7 +145,7 @@ def fit(texts: list[str], labels: list[str], temperature: float = 6.0, rounds: i
         model = _fit(words, labels, tuple(languages), temperature, 0)
         best = _decoded(model, words)
         right = Counter(x for x, y in zip(labels, best) if x == y)
-        wrong = [k for k in languages if 2 * right[k] < named[k]]
+        wrong = [k for k in languages if right[k] < OWN_SHARE * named[k]]
         if not wrong:
             break
         languages.remove(min(wrong, key=lambda k: (right[k] / named[k], k)))
@@ -176,7 +181,7 @@ def _fit(words: list[list[str]], labels: list[str], languages: tuple[str, ...],
         weights = np.zeros((len(grams), code.shape[1]), dtype=np.float32)
         for bit in range(code.shape[1]):
             weights[:, bit] = np.log(rate[:, code[:, bit] > 0].mean(1) / rate[:, code[:, bit] < 0].mean(1))
-        model = Model(languages, grams, np.clip(weights, -4, 4), code, np.ones(code.shape[1], dtype=np.float32) / code.shape[1], temperature)
+        model = Model(languages, grams, np.clip(weights, -4, 4), code, np.full(code.shape[1], WEIGHT / max(1, code.shape[1]), dtype=np.float32), temperature)
         if not words:
             return model
         good = [i for i, lang in enumerate(_decoded(model, words)) if lang == labels[i]]
@@ -188,7 +193,7 @@ def _fit(words: list[list[str]], labels: list[str], languages: tuple[str, ...],
                     sums[row] = model.table_rows(words[i]).sum(0)
             truth = np.stack([code[languages.index(labels[i])] for i in good]) if good else np.zeros((0, code.shape[1]))
             right = ((sums * truth) > 0).mean(0) if good else np.ones(code.shape[1])
-            model.bits = (np.maximum(right, 0.5) / np.maximum(right, 0.5).sum()).astype(np.float32) * code.shape[1] / 2
+            model.bits = (np.maximum(right, 0.5) / np.maximum(right, 0.5).sum()).astype(np.float32) * WEIGHT
             return model
         keep = good or keep
     return model

@@ -98,3 +98,12 @@ def test_an_id_with_two_contents_is_one_of_them(spark):
     out = rows() + [("twice", None, " ".join(SENTENCES["fr"]), None), ("twice", None, SENTENCES["en"][0] + " " + SENTENCES["de"][1], None)]
     got = {r.seg: r.lang for r in L.detect_languages(spark.createDataFrame(out, COLUMNS)).where("id = 'twice'").collect()}
     assert got in ({1: "fr"}, {1: "en", 2: "de"})
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_any_number_of_languages(spark, n):
+    """Thresholds hold for codes of any length."""
+    few = list(SENTENCES)[:n]
+    out = [r for r in rows() if r[0].rstrip("0123456789") in few]
+    got = {(r.id, r.seg): r.lang for r in L.detect_languages(spark.createDataFrame([*out, ("plain", None, " ".join(SENTENCES[few[-1]]), None)], COLUMNS)).collect()}
+    assert got["plain", 1] == few[-1] and len(got) == 12 * n + 1
