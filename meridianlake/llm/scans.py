@@ -281,20 +281,21 @@ def distance(seen: str, true: str, costs: dict[tuple[str, str], float] | None =
 def learned(pairs: DataFrame) -> dict[tuple[str, str], float]:
     """Costs of confusions from the suspects that have one candidate: the more suspects show a confusion, the cheaper it is.
 
-    The most frequent confusion costs as much as a listed one; with each power of ten less often it costs 0.4 more, up to OTHER.
+    The most frequent confusion costs half as much as a listed look-alike without examples; with each power of ten less often it
+    costs 0.2 more, up to OTHER.
     """
     order = Window.partitionBy("word")
     alone = pairs.withColumn("candidates", F.count("*").over(order)).where("candidates = 1 and size(changes) = 1")
     got = alone.select(F.col("changes")[0].alias("change")).groupBy("change").count().where(F.col("count") >= LEAST_SHOWN).orderBy(F.desc("count"), "change").limit(CONFUSIONS_KEPT).collect()
     top = max((r["count"] for r in got), default=1)
-    return {tuple(r["change"].split("\t")): min(OTHER, LISTED - 0.4 * float(np.log10(r["count"] / top))) for r in got}
+    return {tuple(r["change"].split("\t")): min(OTHER, LISTED / 2 - 0.2 * float(np.log10(r["count"] / top))) for r in got}
 
 
 def candidates(counts: DataFrame, most: float = 0.9) -> DataFrame:
     """(word, candidate, cased, cost, n, edit): repairs of suspect words from the symmetric-delete index.
 
-    Look-alikes and frequent confusions cost at most `most`; a candidate that needs one other change (`edit`) is kept where the
-    suspect never stands in typed text.
+    Look-alikes alone may cost at most `most`. A candidate that needs one other change beside them (`edit`) is kept where the
+    suspect never stands in typed text: its context decides, the learned costs tell which of several is likely.
     """
     words = counts.where("kind = 'word'").withColumn("low", F.lower("word"))
     lower = words.groupBy("low").agg(F.sum("typed").alias("typed"), F.sum("paged").alias("paged"), F.max_by("word", F.struct(F.col("typed") + F.col("paged"), F.col("word"))).alias("cased"))
@@ -315,17 +316,17 @@ def candidates(counts: DataFrame, most: float = 0.9) -> DataFrame:
         def run(frames):
             for pdf in frames:
                 done = [align(x, y, costs) for x, y in zip(pdf["word"], pdf["candidate"])]
-                yield pdf.assign(cost=[c for c, _ in done], changes=[["\t".join(x) for x in path] for _, path in done])
+                yield pdf.assign(cost=[c for c, _ in done], other=[sum(t not in READ.get(x, ()) for x, t in path) for _, path in done], changes=[["\t".join(x) for x in path] for _, path in done])
 
         return run
 
-    schema = "word string, candidate string, cased string, n long, seen long, seen_typed long, cost double, changes array<string>"
-    first = cut(pairs.mapInPandas(weigh(None), schema).where(F.col("cost") <= OTHER))
-    # What costs more than one change at first can't be repaired by learned costs of what single changes show.
-    final = first.drop("cost", "changes").mapInPandas(weigh(learned(first)), schema)
-    # A change that isn't frequent needs a word that is never typed, a candidate far more frequent, and some length to be told.
-    edit = (F.col("cost") > most) & (F.size("changes") == 1) & (F.col("seen_typed") == 0) & (F.col("n") >= 20 * F.col("seen")) & (F.length("word") >= 5)
-    return final.withColumn("edit", edit).where((F.col("cost") <= most) | F.col("edit")).select("word", "candidate", "cased", "n", "cost", "edit")
+    schema = "word string, candidate string, cased string, n long, seen long, seen_typed long, cost double, other int, changes array<string>"
+    first = cut(pairs.mapInPandas(weigh(None), schema).where((F.col("other") <= 1) & (F.col("cost") <= OTHER + 2 * LISTED)))
+    # What needs more than one other change stays as it is.
+    final = first.drop("cost", "other", "changes").mapInPandas(weigh(learned(first)), schema)
+    # Another change needs a word that is never typed, a candidate far more frequent, and some length to be told.
+    edit = (F.col("other") == 1) & (F.col("seen_typed") == 0) & (F.col("n") >= 20 * F.col("seen")) & (F.length("word") >= 5)
+    return final.withColumn("edit", edit).where((F.col("other") == 0) & (F.col("cost") <= most) | F.col("edit")).select("word", "candidate", "cased", "n", "cost", "edit")
 
 
 def _bits(words: DataFrame, column: str) -> dict[int, int]:
