@@ -188,7 +188,21 @@ def lsh_search(spark, d):
     return _long_rank(S.bucket_topk(_vectors(spark, d), _asked(spark, d), 10, planes()))
 
 
-@query()
+def _mmr_sql(near: str, k: int, share: float) -> str:
+    """Greedy choice by recursion. near: a table (qid, id, rank, v, q); one step chooses one hit of each query."""
+    length = lambda x: f"sqrt(list_dot_product({x}, {x}))"
+    unit = lambda x: f"list_transform({x}, lambda e: e / CASE WHEN {length(x)} > 0 THEN {length(x)} ELSE 1 END)"
+    return (
+        f"u AS (SELECT qid, id, rank, {unit('v')} AS u, {unit('q')} AS uq FROM {near}), "
+        "pool AS (SELECT qid, list(id ORDER BY rank, id) AS ids, list(u ORDER BY rank, id) AS us, list(list_dot_product(u, uq) ORDER BY rank, id) AS near FROM u GROUP BY qid), "
+        "pick(qid, ids, us, near, chosen, worst) AS (SELECT qid, ids, us, near, []::BIGINT[], list_transform(us, lambda x: 0.0::DOUBLE) FROM pool UNION ALL "
+        "SELECT qid, ids, us, near, list_append(chosen, p), list_transform(range(1, len(us) + 1), lambda i: greatest(worst[i], list_dot_product(us[i], us[p]))) FROM (SELECT *, list_position(gain, list_max(gain))::BIGINT AS p FROM "
+        f"(SELECT *, list_transform(range(1, len(us) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -1e9 ELSE round({share}::DOUBLE * near[i] - {1 - share}::DOUBLE * worst[i], 9) END) AS gain FROM pick WHERE len(chosen) < least({k}, len(us))))), "
+        f"chosen AS (SELECT qid, ids[chosen[n]] AS id, n::INTEGER AS rank FROM (SELECT qid, ids, chosen, unnest(range(1, len(chosen) + 1)) AS n FROM pick WHERE len(chosen) = least({k}, len(us))))"
+    )
+
+
+@query(_PAIRS.replace("WITH e", "WITH RECURSIVE e") + ", near40 AS MATERIALIZED (SELECT * FROM (SELECT qid, id, v, q, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(q, v), 6) DESC, id) AS rank FROM pairs) WHERE rank <= 40), " + _mmr_sql("near40", 10, 0.5) + " SELECT qid, id, rank FROM chosen")
 def mmr_select(spark, d):
     asked = _asked(spark, d)
     pool = S.exact_topk(_vectors(spark, d), asked, 40).join(_vectors(spark, d).select("id", "v"), "id")
@@ -544,7 +558,7 @@ def retrieve_pipeline_full(spark, d):
     return _long_rank(search.hits())
 
 
-@query()
+@query(_NEAR.format(k=20).replace("WITH d", "WITH RECURSIVE d") + _DEDUP + ", kept5 AS MATERIALIZED (SELECT qid, id, rank, v, q FROM kept JOIN (SELECT id, v FROM d) USING (id) JOIN q USING (qid)), " + _mmr_sql("kept5", 5, 0.5) + f", counted AS (SELECT qid, id, rank, {_TOKENS.replace('text', 'content')} AS tokens FROM chosen JOIN d USING (id)), spent AS (SELECT *, sum(tokens) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS spent, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM counted) SELECT qid, id, rank FROM spent WHERE spent <= 1500 OR nth = 1")
 def retrieve_pipeline_mmr(spark, d):
     return Search(_corpus(spark, d), _questions(spark, d)).top_k(5).mmr(0.5).context_budget(1500).hits().select("qid", "id", "rank")
 
