@@ -49,6 +49,19 @@ def test_columns(spark):
     assert got[0].text == "a: 1 | b: 2" and got[1].text is None and got[2].text == "" and got[3].error
 
 
+@pytest.mark.parametrize("data, text", [("a<![<_%[<%b>c", "ac"), ("<p>a<![{{x]]>c", "ac"), ("a<![foo[b]]>c", "ac"), ("a<![CDATA[b>]]>c", "ac"), ("a<![b", "a<![b")])
+def test_marked_sections_in_pages(data, text):
+    assert P.parse_one(data, "text/html")["text"] == text
+
+
+def test_no_document_ends_the_job(spark):
+    long = b"x" * 200_000
+    rows = [(b'<?xml version="1.0" encoding="none"?><a/>', "text/xml"), (b'<?xml version="1.0" encoding="shift_jis"?><a/>', "text/xml"), (b'"\\ud800"', "application/json"), (b"a,b\n1," + long, "text/csv"), (b"a<![%b>c", "text/html")]
+    got = P.parse_documents(spark.createDataFrame(rows, "content binary, mime string").coalesce(1)).select("parsed.text", "parsed.error").collect()
+    assert [bool(r.error) for r in got] == [True, True, True, False, False]
+    assert [r.text for r in got[3:]] == ["a: 1 | b: " + long.decode(), "ac"]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.md").write_text("# x")
     (tmp_path / "b").write_text("<html></html>")
