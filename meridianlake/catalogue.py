@@ -723,7 +723,7 @@ def _once(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     if mode == "append":
         run = result.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-        return spark.read.parquet(f"{at}/out")
+        return spark.read.schema(result.schema).parquet(f"{at}/out")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")

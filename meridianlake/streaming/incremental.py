@@ -9,10 +9,13 @@ from ..functions import text as T
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """New Parquet files under a folder (or of a name pattern), with the schema of those that are there."""
-    schema = spark.read.parquet(path).schema
+    """New Parquet files in a folder (or of a name or pattern in one), with the schema of those that are there."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(root):
+        return stream.parquet(path)
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name).parquet(folder)
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def first_deliveries(stream: DataFrame, keys: list[str], time: str, late: str = "7 days") -> DataFrame:

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from meridianlake import catalogue
 from meridianlake.sources import parsers as P
 from meridianlake.sources import readers as R
 from meridianlake.streaming import incremental as I
@@ -82,3 +83,17 @@ def test_stream(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = I.file_stream(spark, str(tmp_path / "in" / "*.parquet"))
     assert I.run_once(I.new_texts(stream, "text", "at"), "fresh", str(tmp_path / "state")).count() == 2
+
+
+def test_stream_of_a_folder(spark, tmp_path):
+    """A table is a file or a folder of files; its rows are streamed either way, also if none is left."""
+    docs = catalogue.table(spark, "/root/testdata/sf0.001", "documents")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = docs.where("text is not null").select("text").distinct().count()
+    assert catalogue.queries()["stream_dedup"](spark, str(tmp_path)).count() == want > 0
+    docs.withColumn("text", F.lit(None).cast("string")).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert catalogue.queries()["stream_dedup"](spark, str(tmp_path / "none")).count() == 0
+    table = catalogue.table(spark, "/root/testdata/sf0.001", "events")
+    table.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    hours = catalogue.queries()["stream_usage_hourly"](spark, str(tmp_path)).agg(F.sum("records")).first()[0]
+    assert hours == table.count()
